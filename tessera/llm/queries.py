@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id
+from . import language_id, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1,
+    "op3_toxicity": toxicity.op3,
+    "op5_quality": quality.op5,
 }
 ORACLES: dict[str, str] = {}
