@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality, toxicity
+from . import decontaminate, language_id, quality, sentencepiece_codec, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1,
     "op3_toxicity": toxicity.op3,
+    "op4_simhash": simhash.op4,
     "op5_quality": quality.op5,
+    "op7_sentencepiece": sentencepiece_codec.op7,
+    "op9_decontamination": decontaminate.op9,
 }
 ORACLES: dict[str, str] = {}
