@@ -68,3 +68,27 @@ def op6(spark, sf_dir: str, shards: int = 40) -> DataFrame:
     rows = docs.select("doc_id", "source", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     out = interleave(rows, shards, ties=("size", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+#: The same by plain windows. DuckDB has no CRC-32: it is worked out byte by byte.
+OP6_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(0, 8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), raw AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
+), base AS (
+  SELECT doc_id, source, strlen(text) + 16 AS size,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, strlen(text)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) AS text_crc32,
+    coalesce('s:' || source, 'n') AS f, md5('interleave:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM raw, crc
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY f ORDER BY h, doc_id, size, text_crc32) - 1 AS r, count(*) OVER (PARTITION BY f) AS n, count(*) OVER () AS total,
+    (CAST('0x' || substr(md5('interleave/' || f), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE AS shift
+  FROM base
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (r + shift) / n::DOUBLE, f, h, doc_id, size, text_crc32) - 1 AS place FROM ranked
+), cut AS (SELECT *, place * 40 // total AS s FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(s AS INT) AS shard,
+  CAST(place - (s * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source
+FROM cut
+"""

@@ -271,7 +271,7 @@ def write(docs: DataFrame, where: str, path: str, id_col: str = "doc_id", text_c
             name = f"{root}/{part:07d}-{number:05d}-{uuid.uuid4().hex}.twm"
             sizes = np.array([len(x) // 4 for x in held], np.int64)
             raw = dump(names, sizes, np.frombuffer(b"".join(held), "<u4"))
-            with fs.open_output_stream(name) as f:
+            with fs.open_output_stream(name, compression=None) as f:
                 f.write(raw)
             row = pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [name], "docs": [len(names)], "tokens": [size // 4], "before": [before]})
             number, before, size = number + 1, before + size // 4, 0
@@ -310,7 +310,7 @@ def read(spark, manifest: DataFrame, where: str) -> DataFrame:
         fs, _ = pafs.FileSystem.from_uri(where)
         for batch in batches:
             for row in batch.to_pylist():
-                with fs.open_input_stream(row["path"]) as f:
+                with fs.open_input_stream(row["path"], compression=None) as f:
                     shard = Shard(f.read())
                 ids = np.ascontiguousarray(shard.matrix.ids(), "<u4")
                 ends = np.cumsum(shard.sizes)
