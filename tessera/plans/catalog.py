@@ -1,3 +1,7 @@
 """Imports every module that registers queries."""
 
 from __future__ import annotations
+
+from tessera.plans import retrieval
+
+MODULES = [retrieval]
