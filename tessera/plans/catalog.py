@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessera.plans import retrieval
+from tessera.plans import retrieval, search, understanding
 
-MODULES = [retrieval]
+MODULES = [retrieval, search, understanding]
