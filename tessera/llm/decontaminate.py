@@ -215,7 +215,8 @@ def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         return f
 
-    return B.annotate(docs, "text", [T.StructField("_leaked", T.BooleanType())], scorer).where("not _leaked").select(*docs.columns)
+    leaked = B.free(docs, "_leaked")
+    return B.annotate(docs, "text", [T.StructField(leaked, T.BooleanType())], scorer).where(~F.col(leaked)).select(*docs.columns)
 
 
 OP9_SQL = r"""

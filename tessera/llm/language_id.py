@@ -204,4 +204,5 @@ def op1(spark, sf_dir: str) -> DataFrame:
 def keep_identified(spark, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
     """Pipeline stage: keeps the rows of docs whose language is told with a score of `least` or more."""
     model = train(docs.where(B.fold("doc_id", 3) != 1))
-    return identify(docs, model, lang_out="_lang_pred", score_out="_lang_score").where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).select(*docs.columns)
+    lang, score = B.free(docs, "_lang_pred"), B.free(docs, "_lang_score")
+    return identify(docs, model, lang_out=lang, score_out=score).where((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)

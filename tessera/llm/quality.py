@@ -214,4 +214,5 @@ def op5(spark, sf_dir: str) -> DataFrame:
 def keep_good(spark, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
     """Pipeline stage: keeps the rows of docs with a quality of `least` or more."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, out="_quality").where(F.col("_quality") >= least).select(*docs.columns)
+    mark = B.free(docs, "_quality")
+    return score(docs, model, out=mark).where(F.col(mark) >= least).select(*docs.columns)

@@ -157,6 +157,13 @@ def annotate(
     return df.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def fold(id_col: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))

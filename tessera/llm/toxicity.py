@@ -61,7 +61,7 @@ def word_grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     size = ends - starts + 1
     which = np.repeat(np.arange(len(starts)), size)
     start = np.repeat(starts, size)
-    pos = np.arange(len(which)) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size) + start
+    pos = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start
     here = np.where(pos < np.repeat(ends, size), low[np.minimum(pos, max(len(low) - 1, 0))], 0).astype(np.uint64)
     long_from, short_from = np.maximum(start, pos - (ORDER - 1)), np.maximum(start, pos - SHORT)
     ctx = B.span_hashes(low, long_from, pos) ^ np.where(long_from == start, np.uint64(0x1357), np.uint64(0))
