@@ -161,14 +161,14 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, each as little-endian 32-bit bytes."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for ws in cut for w in ws}.difference(self.known)
+        new = set().union(*cut).difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known = {}
-                new = {w for ws in cut for w in ws}
+                new = set().union(*cut)
             self.known |= self.forward(list(new))
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+        known = self.known.__getitem__
+        return [b"".join(map(known, ws)) for ws in cut]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.spelled.__getitem__, ids))
