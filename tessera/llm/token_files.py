@@ -39,7 +39,7 @@ from .shared import scratch, stored
 SHARD_TOKENS = 1 << 20
 BLOCK = 512  # bits between running counts
 #: Words whose ids a worker remembers; results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 # ---------------------------------------------------------------- encoding
@@ -69,32 +69,45 @@ class Encoder:
         self.short = normal == self.NORMAL and steps[0].get("pattern", {}).get("Regex") == self.PATTERN and steps[0].get("behavior") == "Removed"
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         letters, numbers = "a-zªµºß-öø-ÿĀ-ž", self.NUMBERS
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
+        # letters first: no other branch can start with one, so the order of the first two doesn't matter
+        self.words = re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letters}{numbers}]+")
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    #: Bytes that plain texts are made of, and the two-byte characters among them that aren't plain.
+    BYTES = np.zeros(256, bool)
+    BYTES[[9, 10, 13]] = BYTES[32:127] = BYTES[128:192] = BYTES[0xC2:0xC6] = True
+    ODD = np.array([0xC2 << 8 | b for b in (*range(0x80, 0xA1), 0xAD)] + [0xC4 << 8 | 0xB0, 0xC5 << 8 | 0x89, 0xC5 << 8 | 0xBF], np.uint16)
+
+    def plain(self, data: np.ndarray) -> bool:
+        """Whether all texts with these bytes are plain: one look at a whole slice instead of one at each text."""
+        if not self.short or not self.BYTES[data].all():
+            return False
+        lead = np.flatnonzero((data[:-1] == 0xC2) | (data[:-1] == 0xC4) | (data[:-1] == 0xC5))
+        return not np.isin(data[lead].astype(np.uint16) << np.uint16(8) | data[lead + 1], self.ODD).any()
+
+    def encode(self, texts: list[str], plain: bool = False) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
         cut: list[tuple[int, list[str]]] = []
         rest = []
         for i, t in enumerate(texts):
-            if self.short and self.PLAIN.fullmatch(t) and not any(s in t for s in self.special):
+            if self.short and (plain or self.PLAIN.fullmatch(t)) and not any(s in t for s in self.special):
                 cut.append((i, self.words.findall(t.lower())))
             else:
                 rest.append(i)
-        new = {w for _, ws in cut for w in ws}.difference(self.known)
+        new = set().union(*(ws for _, ws in cut)).difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known = {}
-                new = {w for _, ws in cut for w in ws}
+                new = set().union(*(ws for _, ws in cut))
             names = sorted(new)
             self.known |= dict(zip(names, self._whole(names)))
-        known = self.known
+        known = self.known.__getitem__
         for i, ws in cut:
-            out[i] = b"".join([known[w] for w in ws])
+            out[i] = b"".join(map(known, ws))
         for i in range(0, len(rest), 64):
             for j, ids in zip(rest[i : i + 64], self._whole([texts[j] for j in rest[i : i + 64]])):
                 out[j] = ids
@@ -282,9 +295,11 @@ def write(docs: DataFrame, where: str, path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-            _, offsets = B.column_bytes(batch.column(at))
+            data, offsets = B.column_bytes(batch.column(at))
             for a, b in B.slices(offsets):
-                for i, raw in zip(range(a, b), encoder(path).encode([t or "" for t in batch.column(at).slice(a, b - a).to_pylist()])):
+                texts = [t or "" for t in batch.column(at).slice(a, b - a).to_pylist()]
+                enc = encoder(path)
+                for i, raw in zip(range(a, b), enc.encode(texts, enc.plain(data[offsets[a] : offsets[b]]))):
                     names.append(ids[i])
                     held.append(raw + end)
                     size += len(raw) + 4
