@@ -109,5 +109,5 @@ def overlap_scores(ranked: DataFrame, queries: DataFrame, content: str = "conten
     q = queries.select("query_id", words.alias("_w"))
     out = ranked.join(F.broadcast(q), "query_id")
     share = F.size(F.filter("_w", lambda t: F.contains(F.lower(F.col(content)), t))) / F.greatest(F.size("_w"), F.lit(1))
-    out = out.withColumn("score", F.round(0.7 * F.col("score") + 0.3 * share, 6)).drop("_w", "rank")
+    out = out.withColumn("score", F.round(0.7 * F.col("score") + 0.3 * share, 9)).drop("_w", "rank")
     return rerank(out)

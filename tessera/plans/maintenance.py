@@ -184,10 +184,10 @@ def parse_files(spark, sf):
     return out.select("repo_name", "file_path", "chunk_type", "start_line", "end_line", F.transform("symbols", lambda s: s["name"]).alias("symbols"), "dependencies", "required_interfaces", "chunk_id")
 
 
-@query("page_sections", r"""WITH p AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract_all(html, '<p>((?:[^<]|<(?:b|/b|i|/i|a|/a)[^>]*>)*)</p>', 1) AS parts, url FROM pages)
+@query("page_sections", r"""WITH p AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS parts, url FROM pages)
 SELECT page_id, title, CAST(len(parts) AS INT) AS parts, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM p""")
 def page_sections(spark, sf):
     return C.table(spark, sf, "pages").select(
-        "page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p>((?:[^<]|<(?:b|/b|i|/i|a|/a)[^>]*>)*)</p>"), F.lit(1))).alias("parts"),
+        "page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))).alias("parts"),
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"),
     )

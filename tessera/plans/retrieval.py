@@ -199,7 +199,7 @@ def boost_scores(spark, sf):
 
 @query("ce_heuristic", rf"""WITH {C.SQL_BM25}, {C.sql_ranked('scored', 20, 'top')},
 q AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z_][\p{{L}}\p{{N}}_]*')), lambda t: length(t) > 1) AS w FROM benchmark),
-s AS (SELECT query_id, chunk_id, round(0.7 * score + 0.3 * (len(list_filter(w, lambda t: contains(lower(d.text), t))) / greatest(len(w), 1)::DOUBLE), 6) AS score FROM top JOIN q USING (query_id) JOIN documents d ON d.doc_id = chunk_id)
+s AS (SELECT query_id, chunk_id, round(0.7 * score + 0.3 * (len(list_filter(w, lambda t: contains(lower(d.text), t))) / greatest(len(w), 1)::DOUBLE), 9) AS score FROM top JOIN q USING (query_id) JOIN documents d ON d.doc_id = chunk_id)
 SELECT *, {_FINAL} FROM s""")
 def ce_heuristic(spark, sf):
     """Texts join only the ranked rows, after the cut."""
