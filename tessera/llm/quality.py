@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as B
-from .labelled import with_label
+from .labelled import sample_with_label
 
 # Classes of bytes; 0 is "other".
 UPPER, LOWER, DIGIT, SPACE, STOP, BANG, SYMBOL, PIPE, WIDE = range(1, 10)
@@ -169,8 +169,7 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 150, r
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = 1200) -> Model | None:
     """Fits on a bounded sample of about `per_label` documents a class, of the folds 1 to 4 of 5."""
-    rows = with_label(docs.select(id_col, text_col), labels.select(id_col, "quality"), "quality", id_col)
-    rows = B.bounded_sample(rows.where(B.fold(id_col, 5) != 0), id_col, "_label", per_label, 3)
+    rows = sample_with_label(docs.select(id_col, text_col), labels, "quality", per_label, 3, (1, 2, 3, 4), id_col)
 
     def scorer():
         def f(data, offsets, col):

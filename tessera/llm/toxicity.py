@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as B
-from .labelled import logistic, with_label
+from .labelled import logistic, sample_with_label, with_label
 from .shared import stored
 
 RELATIVE = 2e-6
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = with_label(docs.select(id_col, text_col), labels.select(id_col, "toxic"), "toxic", id_col)
     part = B.fold(id_col, 5)
     model = fit(count(rows.where(part.isin(1, 2, 3)), text_col, "_label"))
-    held = B.bounded_sample(rows.where(part == 4), id_col, "_label", per_label, 5)
+    held = sample_with_label(docs.select(id_col, text_col), labels, "toxic", per_label, 5, (4,), id_col)
     got = annotate_ratio(held, model, text_col, ["_label"]).collect()
     x = normalised(*(np.array([r[c] for r in got], float) for c in ("_ratio", "_clear", "_words")))
     y = np.array([float(r["_label"] > 0) for r in got])
