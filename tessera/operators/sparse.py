@@ -96,6 +96,27 @@ def scores(docs: DataFrame, queries: DataFrame, config: Bm25Config = Bm25Config(
     return out
 
 
+def bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def indexed_scores(posted: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFrame, config: Bm25Config = Bm25Config(), buckets: int = 0) -> DataFrame:
+    """The same scores from stored tables: postings (chunk_id, token, tf, dl, bucket), term and corpus statistics.
+
+    Only the buckets of tokens that some query has are read: they are partitions of the stored postings.
+    """
+    asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    if buckets:
+        wanted = [r[0] for r in asked.select(bucket(F.col("token"), buckets)).distinct().collect()]
+        posted = posted.where(F.col("bucket").isin(wanted))
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hint = F.broadcast if small else lambda x: x
+    weighted = hint(asked).join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
+    hits = posted.join(hint(weighted), "token").join(F.broadcast(stats.select("avgdl")))
+    gain = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), config.k1, config.b)
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 6).alias("score"))
+
+
 def ranked(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), source: str | None = None) -> DataFrame:
     """The k best of each query with their rank from 1; ties go to the smaller chunk."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id")

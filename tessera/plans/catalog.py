@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessera.plans import graphs, maintenance, retrieval, search, understanding
+from tessera.plans import graphs, index, maintenance, retrieval, search, understanding
 
-MODULES = [graphs, maintenance, retrieval, search, understanding]
+MODULES = [graphs, index, maintenance, retrieval, search, understanding]

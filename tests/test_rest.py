@@ -173,3 +173,21 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(2, "B"), (3, "c")], schema).coalesce(1).write.mode("append").parquet(src)
     upsert.upsert_stream(spark, src, schema, out, f"{tmp_path}/ck")
     assert sorted(map(tuple, upsert.latest(spark, out).select("chunk_id", "content").collect())) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_stored_index(spark, tmp_path):
+    from tessera.operators import sparse
+    from tessera.plans import index
+
+    s = "chunk_id int, content string, file_path string, repo_name string"
+    old = spark.createDataFrame([(1, "cat dog cat", "a", "r"), (2, "dog", "b", "r"), (3, "fish dog bird bird", "c", "r"), (4, "", "d", "r")], s)
+    queries = spark.createDataFrame([(1, ["cat"]), (2, ["dog", "dog", "bird"])], "query_id int, tokens array<string>")
+    assert index.load_index(spark, f"{tmp_path}/i") is None
+    index.build_index(old, f"{tmp_path}/i")
+    direct = sparse.ranked(sparse.scores(sparse.tokenized(old, F.col("content")), queries), 3, source="bm25")
+    key = lambda df: sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in df.collect())
+    assert key(index.search_index(spark, f"{tmp_path}/i", queries, 3)) == key(direct)
+    new = spark.createDataFrame([(1, "cat dog cat", "a", "r"), (5, "cat cat bird", "b", "r")], s)
+    diff = index.update_index(spark, f"{tmp_path}/i", new, f"{tmp_path}/j")
+    assert {r.file_key: r.state for r in diff.collect()} == {"r:a": "unchanged", "r:b": "changed", "r:c": "deleted", "r:d": "deleted"}
+    assert {r.chunk_id for r in index.search_index(spark, f"{tmp_path}/j", queries, 3).where("query_id = 1").collect()} == {1, 5}
