@@ -12,9 +12,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, dealt to all cores where the table has fewer parts than that (one small file is one part).
+
+    A large table has more parts than cores and stays as it is scanned. Plans that read the texts several
+    times share the one exchange.
+    """
+    df = table(spark, sf, "documents")
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n, "doc_id") if df.rdd.getNumPartitions() < n else df
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """documents as chunks: a source is a repository, a source and language a file."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.concat("source", F.lit("/"), "lang", F.lit(".txt")).alias("file_path"),
         F.col("source").alias("repo_name"), F.col("source").alias("component_name"), F.col("lang").alias("language"),
         F.when(F.col("n_chars") < 1000, "function").when(F.col("n_chars") < 4000, "class").otherwise("mds_service").alias("chunk_type"),
@@ -27,7 +38,7 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Tokenized chunks and queries."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), X.tokens(F.col("text")).alias("tokens"))
+    docs = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), X.tokens(F.col("text")).alias("tokens"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens(F.col("text")).alias("tokens"))
     return docs, asked
 

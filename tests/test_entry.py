@@ -32,7 +32,7 @@ def duck():
     return con
 
 
-SLOW = {"bm25_grid", "graph_bfs"}
+SLOW = {"bm25_grid", "graph_bfs", "search_hybrid", "search_raw", "metric_delta", "rerank_signal", "index_search", "bootstrap_ci"}  # tools/compare.py runs them all
 
 
 @pytest.mark.parametrize("name", [n for n in HERE if n not in SLOW])
