@@ -61,6 +61,6 @@ def projection(results: DataFrame, preview: int = 300) -> DataFrame:
 
 def formatted(results: DataFrame, preview: int = 80) -> DataFrame:
     """One text a query: numbered results parted by lines of dashes."""
-    line = F.format_string("%d. [%s] %s (%.4f)\n%s", "rank", "repo_name", "file_path", "score", F.substring("content", 1, preview))
+    line = F.format_string("%d. [%s] %s (%.4f)\n%s", "rank", "repo_name", "file_path", F.round("score", 4), F.substring("content", 1, preview))
     rows = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
     return rows.select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n---\n").alias("text"))

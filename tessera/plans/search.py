@@ -197,7 +197,7 @@ def result_projection(spark, sf):
 
 
 @registered("result_format", f"""WITH {C.SQL_CHUNKS}, {C.SQL_BM25}, {C.sql_ranked('scored', 3, 'top')},
-l AS (SELECT query_id, rank, printf('%d. [%s] %s (%.4f)', rank, repo_name, file_path, score) || chr(10) || substr(content, 1, 80) AS line FROM top JOIN chunks USING (chunk_id))
+l AS (SELECT query_id, rank, printf('%d. [%s] %s (%.4f)', rank, repo_name, file_path, round(score, 4)) || chr(10) || substr(content, 1, 80) AS line FROM top JOIN chunks USING (chunk_id))
 SELECT query_id, string_agg(line, chr(10) || '---' || chr(10) ORDER BY rank) AS text FROM l GROUP BY 1""")
 def result_format(spark, sf):
     e, _ = engine(spark, sf)
