@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.decontaminate import keep_clean
 from tessera.llm.language_id import keep_identified
+from tessera.llm.near import keep_one
 from tessera.llm.quality import keep_good
 from tessera.llm.sentencepiece_codec import encode_stage
 from tessera.llm.shared import stored
-from tessera.llm.simhash import keep_one
 
 STAGES = [
     ("language_id", keep_identified),

@@ -207,19 +207,3 @@ def op4(spark, sf_dir: str) -> DataFrame:
     """The contract's query."""
     got = group(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(spark, docs: DataFrame, sf_dir: str, most_broadcast: int = 2_000_000) -> DataFrame:
-    """Pipeline stage: keeps of each component the row with the smallest id (one of them, if rows repeat it)."""
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    key, times = B.free(docs, "_id"), B.free(docs, "_n")
-    got = group(docs)
-    kept = got.where(F.coalesce("component_id", F.lit(NO_ID)) == ident).groupBy(ident.alias(key)).agg(F.count(F.lit(1)).alias(times))
-    kept = stored(kept, "simhash-kept")
-    n = kept.count()
-    hint = F.broadcast if n <= most_broadcast else lambda x: x
-    alone = docs.join(hint(kept.where(F.col(times) == 1)), ident == F.col(key), "left_semi")
-    if not kept.where(F.col(times) > 1).limit(1).count():
-        return alone
-    again = docs.join(kept.where(F.col(times) > 1), ident == F.col(key), "left_semi")
-    return alone.unionByName(again.withColumn(key, ident).dropDuplicates([key]).select(*docs.columns))

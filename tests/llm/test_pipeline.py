@@ -1,9 +1,10 @@
 """The pipeline's stages against brute force on each stage's own input."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
-from tessera.llm import queries
+from tessera.llm import near, queries
 from tessera.llm.components import components
 from tessera.llm.shared import stored
 
@@ -41,3 +42,45 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.a: r.b for r in components(spark.createDataFrame([*chain, *star, (7, 7)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _five(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def _copies(rng, n=40, words=200):
+    """Originals, each with a copy whose five-word similarity is the least one of 0.8, 0.82 ... 0.94 or more that replaced words allow."""
+    rows = []
+    for i in range(n):
+        old = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        new, least = list(old), 0.8 + 0.02 * (i % 8)
+        for at in rng.sample(range(words), words):
+            trial = new[:at] + [f"x{rng.randrange(10**6)}"] + new[at + 1 :]
+            a, b = _five(" ".join(old)), _five(" ".join(trial))
+            if len(a & b) >= least * len(a | b):
+                new = trial
+        rows += [(2 * i, " ".join(old), least), (2 * i + 1, " ".join(new), least)]
+    return rows
+
+
+def test_near_dedup_drops_planted_copies(spark):
+    rows = _copies(random.Random(3))
+    kept = near.keep_one(spark, spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, len(rows), 2))
+
+
+def test_near_dedup_against_brute_force(spark, monkeypatch):
+    """Chains of copies of one text, some similar enough and some not, in buckets cut into chunks."""
+    monkeypatch.setattr(near, "HOT", 8)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(f"y{rng.random()}" if rng.random() < 0.015 else w for w in base) for _ in range(60)] + [None, "", " ", "a b", "A b", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own, want = [_five(t or "") for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    got = {r.doc_id: r.component_id for r in near.group(docs).collect()}
+    assert got == dict(enumerate(want)) and 4 < len(set(want)) < 60
