@@ -15,21 +15,23 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, match: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest vectors (chunk_id, embedding) of each query (query_id, embedding).
 
     The vectors stay where they are scanned; a block of queries is broadcast to them, and each task keeps
-    its own k best of each query before anything is shuffled. `where` filters the vectors before that.
+    its own k best of each query before anything is shuffled. `where` filters the vectors before that, `match`
+    the pairs; it may use all other columns of vectors and queries, whose names must differ.
     """
     vectors = vectors if where is None else vectors.where(where)
-    v = vectors.select("chunk_id", _unit(F.col("embedding")).alias("v")).withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = queries.select("query_id", _unit(F.col("embedding")).alias("q")).withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
+    more = lambda df: [] if match is None else [c for c in df.columns if c not in ("query_id", "chunk_id", "embedding")]
+    v = vectors.select("chunk_id", *more(vectors), _unit(F.col("embedding")).alias("v")).withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))
+    q = queries.select("query_id", *more(queries), _unit(F.col("embedding")).alias("q")).withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
     n = max(1, -(-queries.count() // BLOCK))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     out = None
     for i in range(n):
         block = q if n == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-        pairs = v.join(F.broadcast(block))
+        pairs = v.join(F.broadcast(block)) if match is None else v.join(F.broadcast(block), match)
         scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn") + F.lit(1e-12)), 6).alias("score"))
         top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)

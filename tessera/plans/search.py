@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import Bm25Config, SearchConfig
@@ -55,12 +55,16 @@ class Engine:
         """Processed queries (query_id, text, embedding, and columns that filter), dense list, sparse list, after all injections."""
         cfg, depth = self.config, 3 * k
         asked, steps = self.processed(queries)
-        wide = 3 * depth if "filter" in steps else depth
-        d = dense.nearest(self.vectors, asked.select("query_id", "embedding"), wide)
-        s = sparse.ranked(sparse.scores(self.tokens, asked.select("query_id", X.tokens(F.col("expanded")).alias("tokens")), self.bm25), wide if cfg.filter_scope == "all" else depth)
+        vectors, wanted, match = self.vectors, asked.select("query_id", "embedding"), None
+        found = sparse.scores(self.tokens, asked.select("query_id", X.tokens(F.col("expanded")).alias("tokens")), self.bm25)
         if "filter" in steps:
-            d = self._filtered(d, asked, depth)
-            s = self._filtered(s, asked, depth) if cfg.filter_scope == "all" else s
+            # before the cut to depth, so that a query whose filter few chunks pass still gets its list
+            kinds = self.chunks.select("chunk_id", "language", "chunk_type")
+            match = self._passes()
+            vectors, wanted = vectors.join(kinds, "chunk_id", "left"), asked.select("query_id", "embedding", "filter_language", "filter_chunk_type")
+            if cfg.filter_scope == "all":
+                found = found.join(F.broadcast(wanted.drop("embedding")), "query_id").join(kinds, "chunk_id", "left").where(match).select("query_id", "chunk_id", "score")
+        d, s = dense.nearest(vectors, wanted, depth, match=match), sparse.ranked(found, depth)
         if self.rewrite is not None:
             d = fusion.inject(d, dense.nearest(self.vectors, self.rewrite(asked), 2 * k), cfg.inject_sparse_at, cfg.inject_rows)
         if "service" in steps:
@@ -73,11 +77,11 @@ class Engine:
             d = fusion.inject(d, doors, cfg.inject_dense_at, cfg.inject_rows)
         return asked, d, s
 
-    def _filtered(self, ranked: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
-        own = asked.select("query_id", "filter_language", "filter_chunk_type")
-        rows = ranked.join(F.broadcast(own), "query_id").join(self.chunks.select("chunk_id", "language", "chunk_type"), "chunk_id")
-        ok = (F.col("filter_language").isNull() | (F.col("language") == F.col("filter_language"))) & (F.col("filter_chunk_type").isNull() | (F.col("chunk_type") == F.col("filter_chunk_type")))
-        return fusion.rerank(rows.where(ok).select("query_id", "chunk_id", "score")).where(F.col("rank") <= depth)
+    @staticmethod
+    def _passes() -> Column:
+        """Whether a chunk passes a query's filters."""
+        ok = lambda own, asked: F.col(asked).isNull() | (F.col(own) == F.col(asked))
+        return ok("language", "filter_language") & ok("chunk_type", "filter_chunk_type")
 
     def search(self, queries: DataFrame, top_k: int | None = None, mode: str = "full") -> DataFrame:
         """(query_id, chunk_id, rank, score, source) of each query's results in one of MODES."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.config import Bm25Config, SearchConfig
 from tessera.functions import text as X
 from tessera.operators import boost, dense, evaluate, fusion, sparse
+from tessera.plans import search
 
 
 def one(spark, column, *values):
@@ -194,3 +195,17 @@ def test_label_hits_and_bootstrap(spark):
     assert evaluate.bootstrap(m(1), ["rr"]).count() == 0
     (ci,) = evaluate.bootstrap(m(10), ["rr"]).collect()
     assert 0 <= ci.lower <= 0.5 <= ci.upper <= 1 and ci.lower < ci.upper
+
+
+def test_filters_come_before_the_cut(spark):
+    """Three of 300 chunks pass the first query's filter, and all others rank before them in both lists."""
+    kind = lambda i: ("python" if i >= 297 else "lua", "function" if i % 2 else "class")
+    chunks = spark.createDataFrame([(i, *kind(i), f"f{i}.x") for i in range(300)], "chunk_id long, language string, chunk_type string, file_path string")
+    tokens = spark.createDataFrame([(i, ["zebra"] * 3 + ["filler"] * (1 + i)) for i in range(300)] + [(1000 + i, ["other"]) for i in range(700)], "chunk_id long, tokens array<string>")
+    vectors = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(300)], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, "zebra python", [1.0, 0.0]), (2, "zebra", [1.0, 0.0]), (3, "zebra python method", [1.0, 0.0])], "query_id long, text string, embedding array<double>")
+    e = search.Engine(chunks, tokens, vectors)
+    _, *lists = e.candidates(queries, 2)
+    for ranked in lists:
+        got = {q: [r.chunk_id for r in ranked.orderBy("rank").collect() if r.query_id == q] for q in (1, 2, 3)}
+        assert got == {1: [297, 298, 299], 2: [0, 1, 2, 3, 4, 5], 3: [297, 299]}
