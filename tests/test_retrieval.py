@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.config import Bm25Config, SearchConfig
 from tessera.functions import text as X
 from tessera.operators import boost, dense, evaluate, fusion, sparse
-from tessera.plans import search
+from tessera.plans import retrieval, search
 
 
 def one(spark, column, *values):
@@ -209,3 +209,11 @@ def test_filters_come_before_the_cut(spark):
     for ranked in lists:
         got = {q: [r.chunk_id for r in ranked.orderBy("rank").collect() if r.query_id == q] for q in (1, 2, 3)}
         assert got == {1: [297, 298, 299], 2: [0, 1, 2, 3, 4, 5], 3: [297, 299]}
+
+
+def test_bm25_grid_is_the_whole_grid(spark, tmp_path):
+    spark.createDataFrame([(i, f"alpha{i} beta gamma{i % 3} delta", "en", "s", 30) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha1 beta"), (2, "alpha2 beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.k1, r.b): r.hits for r in retrieval.bm25_grid(spark, str(tmp_path)).collect()}
+    want = {(k1, b) for k1 in (0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.5, 3.0) for b in (0.0, 0.15, 0.3, 0.5, 0.6, 0.75, 0.9, 1.0)}
+    assert set(got) == want and set(got.values()) == {2}
