@@ -3,11 +3,12 @@
 Two models of words as byte sequences, one of the toxic and one of the ordinary labelled texts. A byte is
 predicted from the word before it, up to ORDER - 1 bytes with the word's beginning marked, by absolute
 discounting; what a class has rarely seen it takes from one distribution that both share: Kneser-Ney
-continuation counts (after how many longer contexts a byte follows the last SHORT bytes) over all labelled
+continuation counts (after how many longer contexts a byte follows the last SHORT bytes) over all counted
 texts. Bytes rather than whole words, so that inflected and compounded expressions share their stem's
 evidence. A text's score is a logistic function of its log-likelihood ratio normalised by its words.
 
-All labelled texts are counted, by partial sums and shuffles, so the counting follows the input. What
+All labelled texts of folds 1 to 3 are counted, by partial sums and shuffles, so the counting follows the
+input; fold 4 only calibrates, and fold 0 is held out. What
 goes to the executors has a proven bound: only n-grams that make up RELATIVE or more of a class's bytes
 keep an entry of their own (at most 2 / RELATIVE of them); the mass of the others returns to the backoff
 weights, as in any pruned backoff model. There the shared distribution cancels out of the ratio.
