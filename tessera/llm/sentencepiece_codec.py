@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
 A text is marked (a leading mark, spaces as marks) and cut into words, each a mark run with what follows;
-no piece reaches across a cut. The distinct words of a batch are sorted, which lays them out as a trie in
+no piece reaches across a cut. Words are cut and gathered on the bytes of a slice of texts; only a distinct
+word that the worker doesn't remember is looked at by itself. Those are sorted, which lays them out as a trie in
 depth-first order, and the forward pass walks that trie: the state of every prefix is computed once and
 reused by all words that share it. Two state rules:
 
@@ -9,7 +10,9 @@ reused by all words that share it. Two state rules:
 * BPE models (as the one at hand): Viterbi over merge scores would give other pieces than the merges do,
   so a step from one piece to the next is allowed only if merging their joint string gives just the two.
   Exactly one path of allowed steps spells each prefix, and it is the encoding the merges produce; a
-  prefix's state is the last piece of that path. Runs of several marks are merged plainly.
+  prefix's state is the last piece of that path. Words that begin with several marks are merged plainly, by
+  a heap; the middle of a long run of marks is the longest piece of marks again and again, which is
+  made sure of for the vocabulary when it is loaded.
 
 Characters outside the vocabulary become byte pieces, or the unknown piece where there are none.
 
@@ -21,21 +24,25 @@ a text decodes to a space, as with the library; `lossless` tells. Repeated rows
 
 from __future__ import annotations
 
-import re
+import heapq
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as B
+from .wordmemory import WordMemory, ragged
 
 MARK = "▁"
-#: Words whose encodings a worker remembers; beyond that it starts afresh. Results don't depend on it.
-REMEMBERED = 600_000
+#: Pairs of pieces that a worker remembers; beyond that it starts afresh. Results don't depend on it.
+REMEMBERED = 1_000_000
+#: States of prefixes that a worker remembers at the start of a batch of words.
+STATES = 300_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -44,6 +51,26 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class _State:
+    """What the forward pass of a BPE model knows of a prefix: its longest end that begins a piece, and the last pieces of the paths to where that end starts and on."""
+
+    __slots__ = ("tail", "recent", "ids", "n", "to")
+
+    def __init__(self, tail: str, recent: tuple[str, ...], ids: list[int]):
+        self.tail, self.recent, self.ids, self.n, self.to = tail, recent, ids, len(recent[-1]), {}
+
+
+def _shared(words: list[str], most: int = 32) -> list[int]:
+    """How many first characters (`most` at most) each sorted word has in common with the one before it."""
+    if not words:
+        return []
+    a = np.array([w[:most] for w in words])
+    a = np.ascontiguousarray(a).view(np.uint32).reshape(len(words), -1)
+    same = np.concatenate((a[1:] == a[:-1], np.zeros((len(words) - 1, 1), bool)), axis=1)
+    size = np.array([len(w) for w in words])
+    return [0, *np.minimum(np.argmin(same, axis=1), np.minimum(size[1:], size[:-1])).tolist()]
+
+
 class Codec:
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -65,114 +92,191 @@ class Codec:
         used = {c for p in multi for c in p}
         apart = "".join(chr(c) for c in range(128) if chr(c) not in used)
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        esc = re.escape(apart)
-        self.cut = re.compile(".+" if inner else f"{MARK}+[^{MARK}{esc}]*|[{esc}]|[^{MARK}{esc}]+", re.DOTALL)
-        self.lengths: dict[str, tuple[int, ...]] = {}
+        # bytes that stand for themselves, and whether words may be cut at all
+        self.alone, self.whole = np.zeros(256, bool), inner
+        self.alone[[ord(c) for c in apart if c != " "]] = not inner
         by_end: dict[str, set[int]] = {}
         for p in self.ids:
             by_end.setdefault(p[-2:], set()).add(len(p))
         singles = {k for k in by_end if len(k) == 1}
         self.ends = {k: tuple(sorted(v | ({1} if k[-1] in singles else set()), reverse=True)) for k, v in by_end.items()}
-        self.known: dict[str, bytes] = {}
+        self.memory = WordMemory()
         self.steps: dict[tuple[str, str], bool] = {}
+        self.states: dict[tuple[str, tuple[str, ...]], _State] = {}
+        self.starts = {p[:n] for p in self.ids for n in range(1, len(p))}
+        self.bytes_of = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.bytes_size = np.array([len(x) for x in self.spelled], np.int64)
+        self.bytes_start = np.cumsum(self.bytes_size) - self.bytes_size
+        runs = [len(p) for p in self.ids if set(p) == {MARK}]
+        self.run = max(runs, default=1)
+        #: Runs of marks beyond this are shortened by `run` marks at a time, if that is right for this vocabulary.
+        self.most = 4 * self.run
+        if self.bpe and any(self.merge(MARK * (n + self.run)) != [MARK * self.run, *self.merge(MARK * n)] for n in range(self.most - self.run, self.most + self.run)):
+            self.most = 1 << 62
 
     # ---- merges, as the reference point of the BPE rule
     def merge(self, word: str) -> list[str]:
         """The pieces (or lone characters) that merging the best-scored neighbours, leftmost first, leaves."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        parts: list[str | None] = list(word)
+        if len(parts) < 48:
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    s = self.score.get(parts[i] + parts[i + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, i
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return parts
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(-s, i, a + b) for i, (a, b) in enumerate(zip(word, word[1:])) if (s := self.score.get(a + b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, p = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or len(parts[i]) + len(parts[j]) != len(p):
+                continue
+            parts[i], parts[j], after[i] = p, None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            for at in (before[i], i):
+                if at >= 0 and after[at] < len(parts):
+                    q = parts[at] + parts[after[at]]
+                    if (s := self.score.get(q)) is not None:
+                        heapq.heappush(heap, (-s, at, q))
+        return [p for p in parts if p is not None]
+
+    def _marked_merge(self, word: str) -> list[str]:
+        """The same for a word that begins with several marks."""
+        spare = max(0, len(word) - len(word.lstrip(MARK)) - self.most + self.run - 1) // self.run
+        return [MARK * self.run] * spare + self.merge(word[spare * self.run :])
 
     def step(self, a: str, b: str) -> bool:
         """Whether piece b may follow piece a in a BPE encoding; a is empty at the start of a word."""
         key = (a, b)
         ok = self.steps.get(key)
         if ok is None:
-            if len(self.steps) > 4 * REMEMBERED:
+            if len(self.steps) > REMEMBERED:
                 self.steps.clear()
             ok = self.steps[key] = self.merge(a + b) == ([a, b] if a else [b])
         return ok
 
     # ---- the forward pass over the sorted words
-    def forward(self, words: list[str]) -> dict[str, bytes]:
-        """Little-endian 32-bit ids of each distinct word."""
-        out: dict[str, bytes] = {}
-        last: list[str] = [""]  # last[i]: the last piece of the best path to prefix i
-        best: list[float] = [0.0]
-        before = ""
-        for word in sorted(words):
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            if self.bpe and MARK + MARK in word:
-                pieces, before = self.merge(word), word[:0]
-                del last[1:], best[1:]
-            else:
-                del last[shared + 1 :], best[shared + 1 :]
-                extend = self._extend_bpe if self.bpe else self._extend_unigram
-                extend(word, shared + 1, last, best)
-                before, pieces, i = word, [], len(word)
-                while i:
-                    pieces.append(last[i])
-                    i -= len(last[i])
-                pieces.reverse()
-            ids: list[int] = []
-            for p in pieces:
-                got = self.ids.get(p)
-                if got is not None:
-                    ids.append(got)
-                elif self.byte:
-                    ids.extend(self.byte[b] for b in p.encode())
-                else:
-                    ids.append(self.unk)
-            out[word] = np.array(ids, "<i4").tobytes()
-        return out
-
-    def _extend_bpe(self, word: str, start: int, last: list[str], best: list[float]) -> None:
-        ids, ends, steps = self.ids, self.ends, self.steps
-        for i in range(start, len(word) + 1):
+    def forward(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words by a depth-first walk of their trie: the order in which they come, their ids in a row, and how many each has."""
+        order = sorted(range(len(words)), key=words.__getitem__)
+        backwards: list[int] = []  # ids of the words so far, from the last piece of each to its first
+        size = np.zeros(len(words), np.int64)
+        path: list = [self.root() if self.bpe else ("", 0, 0.0)]  # path[i]: the state of the word's prefix of length i
+        walk = self._walk_bpe if self.bpe else self._walk_unigram
+        plain = [i for i in order if not (self.bpe and words[i].startswith(MARK + MARK))]
+        for i, shared in zip(plain, _shared([words[i] for i in plain])):
+            had = len(backwards)
+            walk(words[i], shared, path, backwards)
+            size[i] = len(backwards) - had
+        marked = [i for i in order if self.bpe and words[i].startswith(MARK + MARK)]
+        for i in marked:
+            got = [x for p in self._marked_merge(words[i]) for x in self.coded(p)]
+            backwards.extend(reversed(got))
+            size[i] = len(got)
+        done = np.array(plain + marked, np.int64)[::-1]
+        return done, np.array(backwards, np.int32)[::-1], size[done]
+
+    def coded(self, piece: str) -> list[int]:
+        """A piece's id; a lone character outside the vocabulary as byte pieces, or the unknown piece."""
+        got = self.ids.get(piece)
+        return [got] if got is not None else [self.byte[b] for b in piece.encode()] if self.byte else [self.unk]
+
+    def root(self) -> _State:
+        """The state of the empty prefix. States are kept between calls, up to so many."""
+        if not self.states or len(self.states) > STATES:
+            self.states = {("", ("",)): _State("", ("",), [])}
+        return self.states["", ("",)]
+
+    def _next(self, state: _State, c: str) -> _State:
+        """The state that a character leads to: the longest piece that ends here and may follow the path to where it starts."""
+        text, piece = state.tail + c, c
+        for at in range(len(text)):
+            if text[at:] in self.ids and self.step(state.recent[at], text[at:]):
+                piece = text[at:]
+                break
+        cut = next((at for at in range(len(text)) if text[at:] in self.starts), len(text))
+        key = (text[cut:], (*state.recent, piece)[cut:])
+        got = self.states.get(key)
+        if got is None:
+            got = self.states[key] = _State(*key, self.coded(piece)[::-1])
+        state.to[c] = got
+        return got
+
+    def _walk_bpe(self, word: str, shared: int, path: list[_State], backwards: list[int]) -> None:
+        del path[shared + 1 :]
+        state = path[-1]
+        for c in word[shared:]:
+            state = state.to.get(c) or self._next(state, c)
+            path.append(state)
+        i = len(word)
+        while i:
+            state = path[i]
+            backwards += state.ids
+            i -= state.n
+
+    def _walk_unigram(self, word: str, shared: int, path: list[tuple[str, int, float]], backwards: list[int]) -> None:
+        del path[shared + 1 :]
+        for i in range(shared + 1, len(word) + 1):
             piece = word[i - 1]
-            for n in ends.get(word[i - 2 : i] if i > 1 else piece) or ends.get(piece) or ():
-                if n <= i and (p := word[i - n : i]) in ids:
-                    key = (last[i - n], p)
-                    ok = steps.get(key)
-                    if self.step(*key) if ok is None else ok:
-                        piece = p
-                        break
-            last.append(piece)
-
-    def _extend_unigram(self, word: str, start: int, last: list[str], best: list[float]) -> None:
-        for i in range(start, len(word) + 1):
-            top, piece = best[i - 1] - 1e6, word[i - 1]
+            top, size = path[i - 1][2] - 1e6, 1
             for n in self.ends.get(word[max(0, i - 2) : i]) or self.ends.get(piece) or ():
-                if n <= i and (p := word[i - n : i]) in self.ids and best[i - n] + self.score[p] > top:
-                    top, piece = best[i - n] + self.score[p], p
-            last.append(piece)
-            best.append(top)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, each as little-endian 32-bit bytes."""
-        cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = set().union(*cut)
-            self.known |= self.forward(list(new))
-        known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in cut]
-
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.spelled.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+                if n <= i and (p := word[i - n : i]) in self.ids and path[i - n][2] + self.score[p] > top:
+                    top, size, piece = path[i - n][2] + self.score[p], n, p
+            path.append((piece, size, top))
+        i = len(word)
+        while i:
+            backwards += reversed(self.coded(path[i][0]))
+            i -= path[i][1]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts in a row, and where each text's ids begin (texts + 1)."""
+        mark = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.zeros(0, np.int64)
+        if len(mark):  # a literal mark is a space
+            data, offsets = data.copy(), offsets - 2 * np.searchsorted(mark, offsets)
+            data[mark] = 32
+            data = np.delete(data, np.concatenate((mark + 1, mark + 2)))
+        full = offsets[:-1] < offsets[1:]
+        data = np.insert(data, offsets[:-1][full], 32)
+        offsets = offsets + np.concatenate(([0], np.cumsum(full)))
+        begin = np.zeros(len(data), bool)
+        if not self.whole and len(data):
+            space, alone = data == 32, self.alone[data]
+            begin |= alone
+            begin[1:] |= alone[:-1] | (space[1:] & ~space[:-1])
+        begin[offsets[:-1][full]] = True
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        return self.memory.encode(data, starts, ends, np.searchsorted(starts, offsets), lambda ws: self.forward([w.replace(" ", MARK) for w in ws]))
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that each text's ids spell, without the leading mark, in a row, and where each text begins."""
+        size = self.bytes_size[ids]
+        raw = ragged(self.bytes_of, self.bytes_start[ids], size)
+        upto = np.concatenate(([0], np.cumsum(size)))[offsets]
+        full = np.flatnonzero(upto[:-1] < upto[1:])
+        lead = full[raw[upto[full]] == 32]
+        gone = np.zeros(len(upto), np.int64)
+        gone[lead + 1] = 1
+        return np.delete(raw, upto[lead]), upto - np.cumsum(gone)
+
+    def texts(self, raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts as an Arrow column; bytes that are no UTF-8 become the replacement character."""
+        inner = offsets[(offsets > 0) & (offsets < len(raw))]
+        try:
+            raw.tobytes().decode()
+            sound = not ((raw[inner] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            sound = False
+        if sound and len(raw) < 1 << 31:
+            return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw))
+        return pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.string())
 
 
 @cache
@@ -186,9 +290,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | N
 
     def scorer():
         def f(data, offsets, col):
-            got = codec(path).encode([t or "" for t in col.to_pylist()])
-            size = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(size), pa.array(np.frombuffer(b"".join(got), "<i4")))]
+            ids, at = codec(path).encode(data, offsets)
+            return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))]
 
         return f
 
@@ -205,7 +308,10 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
         for batch in batches:
             for at in range(0, batch.num_rows, B.SLICE_ROWS):
                 part = batch.slice(at, B.SLICE_ROWS)
-                text = pa.array([c.decode(x or []) for x in part.column(part.schema.get_field_index(ids_col)).to_pylist()], pa.string())
+                col = part.column(part.schema.get_field_index(ids_col))
+                size = np.array(pc.fill_null(pc.list_value_length(col), 0), np.int64)
+                ids = np.array(pc.list_flatten(col), np.int64)
+                text = c.texts(*c.decode(ids, np.concatenate(([0], np.cumsum(size)))))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names[:-1]] + [text], names=names)
 
     return df.mapInArrow(run, schema)
@@ -218,15 +324,19 @@ def coded(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | No
         import hashlib
 
         def f(data, offsets, col):
-            c, texts = codec(path), [t or "" for t in col.to_pylist()]
-            got = c.encode(texts)
-            size = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))).astype(np.int32)
-            ids = np.frombuffer(b"".join(got), "<i4")
-            back = [c.decode(np.frombuffer(x, "<i4").tolist()) for x in got]
-            return [
-                pa.ListArray.from_arrays(pa.array(size), pa.array(ids)), np.diff(size).astype(np.int64),
-                [hashlib.sha256(t.encode()).hexdigest() for t in back], [a == b for a, b in zip(back, texts)],
-            ]
+            c = codec(path)
+            ids, at = c.encode(data, offsets)
+            raw, to = c.decode(ids, at)
+            if len(raw) == len(data) and (to == offsets).all() and (raw == data).all():
+                same = np.ones(len(col), bool)
+            else:
+                col = c.texts(raw, to)
+                own = data
+                raw, to = B.column_bytes(col)
+                same = np.array([np.array_equal(raw[a:b], own[x:y]) for a, b, x, y in zip(to.tolist(), to[1:].tolist(), offsets.tolist(), offsets[1:].tolist())], bool)
+            view = memoryview(np.ascontiguousarray(raw))
+            digest = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(to.tolist(), to[1:].tolist())]
+            return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), np.diff(at), digest, same]
 
         return f
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ def powers(base: int, n: int) -> np.ndarray:
     key = str(base)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 2 * SLICE_BYTES + 1)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
@@ -105,15 +106,36 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTES)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes, wherever they stand."""
+    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes, wherever they stand.
+
+    Spans are sorted by start. Long data is worked on in blocks of spans, so that the working set follows
+    SLICE_BYTES; a span beyond that length is named by XXH3.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
+    far = ends - starts > SLICE_BYTES
+    if len(data) <= 2 * SLICE_BYTES and not far.any():
+        return _span_hashes(data, starts, ends)
+    out, at = np.empty(len(starts), np.uint64), 0
+    for i in np.flatnonzero(far).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    near = np.flatnonzero(~far)
+    begin = starts[near]
+    while at < len(near):
+        to = int(np.searchsorted(begin, begin[at] + SLICE_BYTES))
+        some = near[at:to]
+        out[some] = _span_hashes(data[begin[at] : ends[some].max()], starts[some] - begin[at], ends[some] - begin[at])
+        at = to
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
     np.multiply(data, powers(_MULT, len(data)), out=total[1:], dtype=np.uint64, casting="unsafe")
     total[1:] += powers(_MULT, len(data))  # a zero byte counts too
     np.cumsum(total, out=total)
-    return mix((total[ends] - total[starts]) * powers(_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * powers(_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
