@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from tessera.llm import decontaminate, language_id, quality, queries, sentencepiece_codec, sharding, simhash, sketch, token_files, toxicity, warc
+from tessera.llm import decontaminate, language_id, quality, queries, sentencepiece_codec, sharding, simhash, sketch, textbytes, token_files, toxicity, warc, wordmemory
 
 
 def lower(t):
@@ -238,8 +239,65 @@ def test_op7_unusual_texts():
     rng, parts = random.Random(1), ["the", "a", "ing", " ", "   ", "\n", "\t", "12", "é", "中", "🙂", "<s>", "▁", "er", "AB", "_", "''", "\x00", "ж", "return", "    "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     c = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
-    assert [np.frombuffer(x, "<i4").tolist() for x in c.encode(texts)] == sp.encode(texts)
-    assert all(c.decode(sp.encode(t)) == t.replace("▁", " ") for t in texts)
+    assert coded(c, texts) == sp.encode(texts)
+    ids = [sp.encode(t) for t in texts]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    assert c.texts(*c.decode(np.concatenate(ids).astype(np.int64), at)).to_pylist() == [t.replace("▁", " ") for t in texts]
+
+
+def coded(c, texts):
+    """A codec's ids of texts, as lists."""
+    ids, at = c.encode(*textbytes.column_bytes(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+
+def test_op7_bytes_that_are_no_text():
+    c = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    ids = np.array([c.byte[0xE4], c.byte[0x41], c.byte[0xFF]])
+    assert c.texts(*c.decode(ids, np.array([0, 1, 3, 3]))).to_pylist() == ["\ufffd", "A\ufffd", ""]
+
+
+def test_op7_long_runs_and_long_texts():
+    """Runs of marks of every length up to 150 and of a million, long words without a space, and a text beyond a slice, against the library."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    c = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    texts = [f"{a}{' ' * n}{b}" for n in range(150) for a, b in (("", ""), ("x", "y"), ("\n", "中"), ("é", "\t"))]
+    texts += [" " * 10**6 + "end", "  " + "語" * 5000, "ab" * 40_000, "  " + "xyz" * 30_000, "\n" * 10**6]
+    texts += ["some words of a long text, " * 120_000]
+    assert len(texts[-1]) > textbytes.SLICE_BYTES
+    assert coded(c, texts) == sp.encode(texts)
+
+
+def test_op7_memory_that_starts_afresh(sf, docs):
+    c, small = (sentencepiece_codec.Codec(sentencepiece_codec.model_path()) for _ in range(2))
+    small.memory = wordmemory.WordMemory(64, 256)
+    texts = [d.text for d in docs[:60]]
+    assert coded(c, texts) == coded(small, texts) == coded(small, texts)
+
+
+def test_word_names():
+    """A word has one name wherever it stands, short or beyond what sums of powers name."""
+    words = [b"a", b"ab", b"x" * 64, b"x" * 65, b"yz" * 400, b"\x00", b"\x00\x00"]
+    rows = words + words[::-1]
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    ends = np.cumsum([len(w) for w in rows])
+    names = wordmemory.names(data, ends - [len(w) for w in rows], ends)
+    assert len({*names.tolist()}) == len(words) and (names == names[::-1]).all()
+
+
+def test_hashes_of_long_data():
+    """Spans in data beyond two slices have the hashes they have by themselves."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 5 << 20).astype(np.uint8)
+    starts = np.sort(rng.integers(0, len(data) - 50, 4000))
+    ends = starts + rng.integers(0, 40, 4000)
+    ends[7] = starts[7] + textbytes.SLICE_BYTES + 9
+    got = textbytes.span_hashes(data, starts, ends)
+    for i in (0, 7, 8, 1999, 3999):
+        own = data[starts[i] : ends[i]]
+        assert got[i] == textbytes.span_hashes(own, np.array([0]), np.array([len(own)]))[0]
 
 
 def test_op7_unigram_rule():
@@ -255,9 +313,12 @@ def test_op7_unigram_rule():
             c.ends.setdefault(key, set()).update(len(x) for x in c.score if x.endswith(key) or x == key[-1])
     c.ends = {k: tuple(sorted(v, reverse=True)) for k, v in c.ends.items()}
     words = ["▁" + "".join(x) for n in range(1, 6) for x in itertools.product("ab", repeat=n)]
-    for w, ids in c.forward(words).items():
-        names = list(c.score)
-        got = sum(c.score[names[i]] for i in np.frombuffer(ids, "<i4"))
+    order, flat, size = c.forward(words)
+    assert sorted(order) == list(range(len(words)))
+    for i, ids in zip(order, np.split(flat, np.cumsum(size)[:-1])):
+        w, names = words[i], list(c.score)
+        assert "".join(names[i] for i in ids) == w
+        got = sum(c.score[names[i]] for i in ids)
         cuts = [(0, *mid, len(w)) for k in range(len(w)) for mid in itertools.combinations(range(1, len(w)), k)]
         parts = [[w[a:b] for a, b in itertools.pairwise(cut)] for cut in cuts]
         best = max(sum(c.score[p] for p in ps) for ps in parts if all(p in c.score for p in ps))
@@ -297,11 +358,26 @@ def test_op8_short_way_equals_the_library():
     assert e.short
     rng, parts = random.Random(2), ["the", "THE", "'", "'s", "'LL", "''", "!'s", " ", "\n", "\t", "23", "é", "É", "中", "<|endoftext|>", "ß", "œ", "ª", "²", "İ", "ŉ", "\xa0", "\x1c", "\x85", "é", "ñ", "×", "_", "ſ"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    plain = ["the ", "don't", "'re", "'", "''", "!'ll", "3", "½é", "É", "Ŧ", " ", "\n", "."]
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
     want = [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
-    for t, ids in zip(texts, want):
-        if e.plain(np.frombuffer(t.encode(), np.uint8)):
-            assert np.frombuffer(e.encode([t], plain=True)[0], "<u4").tolist() == ids
+    data, offsets = textbytes.column_bytes(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in e.encode(data, offsets)] == want
+    assert len(e.odd(data, offsets)) < len(texts) - 4000
+
+
+def test_op8_rank_and_select_on_files(spark, tmp_path):
+    """Occurrences of an id by the files' bit-planes, against a scan, with planes of several blocks and shards of several documents."""
+    texts = ["rare " + "the of and " * 5, "", None, "the rare rare", "of " * 400_000 + "rare", "and"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    where = f"file://{tmp_path}/files"
+    manifest = spark.createDataFrame(token_files.write(docs, where, token_files.tokenizer_path(), shard_tokens=300_000).collect())
+    e = token_files.Encoder(token_files.tokenizer_path())
+    ids = [x.tolist() for x in e.encode(*textbytes.column_bytes(pa.array(texts, pa.string())))]
+    for word in ("rare", "the", "zebra"):
+        token = e._whole([word])[0].tolist()[0]
+        want = {(i, x.count(token), x.index(token)) for i, x in enumerate(ids) if token in x}
+        assert {tuple(r) for r in token_files.occurrences(manifest, where, token).collect()} == want
 
 
 def brute_windows(items):
