@@ -85,6 +85,24 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = SLICE_ROWS)
         at = to
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A slice as it is, or, if it is one long text, parts of about SLICE_BYTES that no word (run of bytes of `table`) crosses."""
+    n, at = len(data), 0
+    if n <= 2 * SLICE_BYTES or len(offsets) != 2:
+        yield data, offsets
+        return
+    while at < n:
+        to = min(at + SLICE_BYTES, n)
+        while to < n:
+            gap = np.flatnonzero(~table[LOWER[data[to : to + 4096]]])
+            if len(gap):
+                to += int(gap[0])
+                break
+            to = min(to + 4096, n)
+        yield data[at:to], np.array([0, to - at])
+        at = to
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of bytes of `table`, never across rows) and the first word of each row (n + 1)."""
     n = len(data)

@@ -1,17 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of words as byte sequences, one of the toxic and one of the ordinary labelled texts. A byte is
-predicted from the word before it, up to ORDER - 1 bytes with the word's beginning marked, by absolute
-discounting; what a class has rarely seen it takes from one distribution that both share: Kneser-Ney
-continuation counts (after how many longer contexts a byte follows the last SHORT bytes) over all counted
-texts. Bytes rather than whole words, so that inflected and compounded expressions share their stem's
-evidence. A text's score is a logistic function of its log-likelihood ratio normalised by its words.
-
-All labelled texts of folds 1 to 3 are counted, by partial sums and shuffles, so the counting follows the
-input; fold 4 only calibrates, and fold 0 is held out. What
-goes to the executors has a proven bound: only n-grams that make up RELATIVE or more of a class's bytes
-keep an entry of their own (at most 2 / RELATIVE of them); the mass of the others returns to the backoff
-weights, as in any pruned backoff model. There the shared distribution cancels out of the ratio.
+predicted from the ORDER - 1 bytes before it, but not beyond the gap before its word, by absolute discounting;
+what a class has rarely seen it takes from one distribution that both share: Kneser-Ney continuation counts
+(after how many longer contexts a byte follows the last SHORT bytes) over all counted texts. Bytes rather than
+whole words, so that inflected and compounded expressions share their stem's evidence.
+
+A toxic text is ordinary in most of its words, so its likelihood is that of a mixture in which a share TOXIC
+of the words comes from the toxic model and the others from the ordinary one. A text's score is a logistic
+function of its length-normalised log-likelihood ratio, normalised by its words and by their square root:
+chance sums grow with a text like the latter, evidence like the former.
+
+All labelled texts of folds 1 to 3 are counted, by partial sums and shuffles; fold 4 only calibrates, and
+fold 0 is held out. An n-gram has an entry if it occurs LEAST times or more, whatever the corpus's size, so
+the model grows with the corpus; the mass of rarer ones is in the backoff weights, and there the shared
+distribution cancels out of the ratio. A model of up to BROADCAST entries is broadcast. Beyond that it stays a
+table: each part of the documents writes the distinct n-grams it asks for, they are joined with the table by a
+shuffle, and each part reads its answers back. Both ways give the same scores.
 
 Edge cases: null and empty texts and texts without words have ratio 0 and so the calibrated score of no
 evidence. Without labels of both classes the score is the share of toxic labels, or 0 with none at all.
@@ -25,191 +30,299 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as B
 from .labelled import logistic, sample_with_label, with_label
-from .shared import stored
+from .shared import scratch, stored
+from .wordmemory import Numbers
 
-RELATIVE = 2e-6
-ORDER = 9
+ORDER = 8  # bytes of the longest n-gram: they fill a 64-bit number
 SHORT = 3
-#: A word whose ratio exceeds this (in nats) is clear evidence by itself.
-CLEAR = 2.5
+LEAST = 3
+TOXIC = 0.01
+GAP = 32
+#: Share of the shared distribution that goes to all bytes alike, and its discount.
+FLOOR = 0.75
+BROADCAST = 6_000_000
 
 
-def word_counts(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray | None = None):
-    """Distinct words as (bytes, starts, ends), their summed weights, each word's number among them, first word of each row."""
-    low = B.LOWER[data]
-    starts, ends, first = B.words(low, offsets, B.LETTER_BYTES)
-    _, at, which = np.unique(B.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
-    total = None
-    if weight is not None:
-        total = np.zeros((len(at), 2), np.int64)
-        kind = np.repeat(weight, np.diff(first))
-        for c in (0, 1):
-            total[:, c] = np.bincount(which[kind == c], minlength=len(at))
-    return low, starts[at], ends[at], total, which, first
+@dataclass
+class Grams:
+    """The n-grams of the words of some texts, in order."""
 
+    gram: np.ndarray  # the bytes of context and predicted byte as a number
+    word: np.ndarray  # first n-gram of each word (words + 1)
+    first: np.ndarray  # first word of each row (rows + 1)
 
-def word_grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of each word, and its end: the n-gram (context's hash << 8 | byte), the short n-gram, the word's number.
 
-    A byte beyond a-z and the letters' lead and continuation bytes stands for itself; the end of a word is byte 0.
-    """
-    size = ends - starts + 1
-    which = np.repeat(np.arange(len(starts)), size)
-    start = np.repeat(starts, size)
-    pos = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start
-    here = np.where(pos < np.repeat(ends, size), low[np.minimum(pos, max(len(low) - 1, 0))], 0).astype(np.uint64)
-    long_from, short_from = np.maximum(start, pos - (ORDER - 1)), np.maximum(start, pos - SHORT)
-    ctx = B.span_hashes(low, long_from, pos) ^ np.where(long_from == start, np.uint64(0x1357), np.uint64(0))
-    short = B.span_hashes(low, short_from, pos) ^ np.where(short_from == start, np.uint64(0x1357), np.uint64(0))
-    return ctx << np.uint64(8) | here, short << np.uint64(8) | here, which
+def grams_of(data: np.ndarray, offsets: np.ndarray) -> Grams:
+    """An n-gram for each byte of each word and for the gap that ends it. Gaps are the byte GAP."""
+    low = B.LOWER[data]
+    starts, ends, first = B.words(low, offsets, B.LETTER_BYTES)
+    size = ends - starts
+    if not len(starts):
+        return Grams(np.zeros(0, np.uint64), np.zeros(1, np.int64), first)
+    # all words, each after a gap, and a gap at the end
+    inside = B.LETTER_BYTES[low]
+    gap = np.cumsum(size + 1) - (size + 1)
+    flat = np.full(int(gap[-1] + size[-1]) + 2, GAP, np.uint8)
+    body = np.ones(len(flat), bool)
+    body[gap], body[-1] = False, False
+    flat[body] = low[inside]
+    # the last ORDER bytes up to each place, as a number
+    last = flat.astype(np.uint64)
+    for by in (1, 2, 4):
+        last[by:] |= last[:-by] << np.uint64(8 * by)
+    # the n-grams of word j end at its bytes and the gap after it, from gap[j] + 1 to gap[j + 1]
+    deep = np.arange(1, len(flat)) - np.repeat(gap, size + 1)
+    taken = np.minimum(deep + 1, ORDER).astype(np.uint64)
+    gram = last[1:] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * taken))
+    return Grams(gram, np.append(gap, len(gram)), first)
 
 
 def count(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Counts by class (packed: toxic << 32 | ordinary) of each n-gram of all rows, with its short n-gram."""
+    """(gram, c0, c1): ordinary and toxic occurrences of each n-gram of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.column_bytes(batch.column(batch.schema.get_field_index(text_col)))
-            label = (batch.column(batch.schema.get_field_index(label_col)).to_numpy(zero_copy_only=False) > 0).astype(int)
+            toxic = batch.column(batch.schema.get_field_index(label_col)).to_numpy(zero_copy_only=False) > 0
             for a, b in B.slices(offsets, 2 * B.SLICE_BYTES, 8 * B.SLICE_ROWS):
-                low, starts, ends, total, _, _ = word_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], label[a:b])
-                gram, short, which = word_grams(low, starts, ends)
-                n = (total[which, 1] << 32) + total[which, 0]
-                order = np.argsort(gram, kind="stable")
-                gram, short, n = gram[order], short[order], n[order]
-                at = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1])))
-                n = np.add.reduceat(n, at) if len(at) else n
-                yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(short[at].view(np.int64)), pa.array(n)], names=["gram", "short", "n"])
+                for part in B.pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], B.LETTER_BYTES):
+                    g = grams_of(*part)
+                    bad = np.repeat(toxic[a:b], np.diff(g.word[g.first]))
+                    for kind in (False, True):
+                        gram, n = np.unique(g.gram[bad == kind], return_counts=True)
+                        none = np.zeros(len(n), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(none if kind else n), pa.array(n if kind else none)], names=["gram", "c0", "c1"])
 
-    return rows.select(text_col, label_col).mapInArrow(run, "gram long, short long, n long").groupBy("gram").agg(F.min("short").alias("short"), F.sum("n").alias("n"))
+    found = rows.select(text_col, label_col).mapInArrow(run, "gram long, c0 long, c1 long")
+    return found.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-@dataclass
-class Model:
-    """Sorted keys with log-likelihood ratios (toxic over ordinary), and the calibration."""
-
-    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    gram_llr: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    context_llr: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(6))
-
-    def ratios(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Summed log-likelihood ratio of each row, the part of it that words beyond CLEAR give, and the number of words."""
-        low, starts, ends, _, which, first = word_counts(data, offsets)
-        if len(self.grams) and len(starts):
-            gram, _, of = word_grams(low, starts, ends)
-            hit, at = _find(self.grams, gram)
-            llr = np.where(hit, self.gram_llr[at], np.float32(0))
-            rest = np.flatnonzero(~hit)
-            known, at = _find(self.contexts, gram[rest] >> np.uint64(8))
-            llr[rest[known]] = self.context_llr[at[known]]
-            llr = np.bincount(of, weights=llr, minlength=len(starts))[which]
-        else:
-            llr = np.zeros(len(which))
-        sums = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[first])
-        return sums(llr), sums(np.maximum(llr - CLEAR, 0)), np.diff(first)
-
-    def scores(self, ratio: np.ndarray, clear: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(normalised(ratio, clear, n) @ self.weights[:-1] + self.weights[-1], -30, 30)))
+def context(gram) -> F.Column:
+    return F.shiftrightunsigned(gram, 8)
 
 
-def normalised(ratio: np.ndarray, clear: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The ratio per word and per square root of the words, and the same of its clear part: chance sums grow with a text, expressions stand out."""
-    n = np.maximum(n, 1)
-    return np.column_stack((ratio / n, ratio / np.sqrt(n), 10 * clear / n, clear / np.sqrt(n), np.log1p(clear)))
-
+def entries(counts: DataFrame) -> DataFrame | None:
+    """(key, context, llr): log-likelihood ratios (toxic over ordinary) of the n-grams that have an entry, and of an unseen byte after their contexts.
 
-def fit(counts: DataFrame) -> Model:
-    """The pruned model of all counts. Only n-grams above RELATIVE reach the driver, and what belongs to their contexts."""
-    c0, c1 = F.col("n").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("n", 32)
-    table = stored(counts.select("gram", "short", F.shiftrightunsigned("gram", 8).alias("ctx"), c0.alias("c0"), c1.alias("c1")), "toxicity-counts")
+    None without counts of both classes.
+    """
+    table = stored(counts, "toxicity-counts")
     s = lambda cond: F.count_if(F.expr(cond))
     n0, n1, *ones = (float(x or 0) for x in table.agg(F.sum("c0"), F.sum("c1"), s("c0 = 1"), s("c0 = 2"), s("c1 = 1"), s("c1 = 2")).first())
     if not n0 or not n1:
-        return Model()
-    kept = table.where((F.col("c0") >= RELATIVE * n0) | (F.col("c1") >= RELATIVE * n1))
-    gram, short, c = _columns(kept.select("gram", "short", "c0", "c1"))
-    seen_key, _, seen = _columns(table.groupBy("ctx").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).join(F.broadcast(kept.select("ctx").distinct()), "ctx", "left_semi").select("ctx", F.lit(0).alias("x"), "c0", "c1"))
+        return None
+    d = [_discount(*ones[:2]), _discount(*ones[2:])]
+    has = F.col("c0") + F.col("c1") >= LEAST
     # Kneser-Ney continuation counts: the distinct contexts before a short n-gram, and before any byte in its place
-    types = table.groupBy("short").agg(F.count(F.lit(1)).alias("types"))
-    whole = types.groupBy(F.shiftrightunsigned("short", 8).alias("from")).agg(F.sum("types").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    wanted = F.broadcast(kept.select("short").distinct())
-    shared = types.join(wanted, "short", "left_semi").withColumn("from", F.shiftrightunsigned("short", 8))
-    sum_key, _, sums = _columns(whole.join(F.broadcast(kept.select(F.shiftrightunsigned("short", 8).alias("from")).distinct()), "from", "left_semi").select("from", F.lit(0).alias("x"), "all", "kinds"))
-    type_key, _, kinds = _columns(shared.select("short", "from", "types", F.lit(0).alias("y")))
-    d = np.array([_discount(*ones[:2]), _discount(*ones[2:])])
-    at = np.searchsorted(seen_key, gram >> np.uint64(8))
-    total = np.maximum(seen[at], 1e-9)
-    low = np.searchsorted(type_key, short)
-    base = sums[np.searchsorted(sum_key, short >> np.uint64(8))]
-    backoff = np.maximum(kinds[low, 0] - 0.75, 0) / base[:, 0] + 0.75 * base[:, 1] / base[:, 0] / 256
-    used = np.zeros((len(seen_key), 2))
-    np.add.at(used, at, np.maximum(c - d, 0))
-    left = np.clip(1 - used / np.maximum(seen, 1e-9), 1e-3, 1.0)
-    left[seen < 1] = 1.0
-    p = np.where(total < 1, 0, np.maximum(c - d, 0) / total) + left[at] * backoff[:, None]
-    log = lambda x: (np.log(np.maximum(x[:, 1], 1e-12)) - np.log(np.maximum(x[:, 0], 1e-12))).astype(np.float32)
-    return Model(gram, log(p), seen_key, log(left))
-
-
-def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A bounded table sorted by its first column as unsigned key: key, second column, the last two as floats."""
-    t = df.toArrow()
-    key, other, a, b = (t.column(i).to_numpy() for i in range(4))
-    order = np.argsort(key.view(np.uint64))
-    return key.view(np.uint64)[order], other.astype(np.int64).view(np.uint64)[order], np.stack((a, b), 1)[order].astype(float)
-
-
-def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
-    return (keys[at] == x if len(keys) else np.zeros(len(x), bool)), at
+    short = F.col("gram").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    types = table.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("types"))
+    own = Window.partitionBy(context("short"))
+    kinds = F.count(F.lit(1)).over(own)
+    whole = F.sum("types").over(own)
+    shared = types.select("short", (F.greatest(F.col("types") - FLOOR, F.lit(0.0)) / whole + FLOOR * kinds / whole / 256).alias("base"))
+    ctx = Window.partitionBy("ctx")
+    seen = table.select("gram", "c0", "c1", short.alias("short"), context("gram").alias("ctx"), has.alias("has"))
+    for c in (0, 1):
+        kept = F.when(F.col("has"), F.greatest(F.col(f"c{c}") - d[c], F.lit(0.0))).otherwise(0.0)
+        seen = seen.withColumn(f"s{c}", F.sum(f"c{c}").over(ctx)).withColumn(f"k{c}", kept)
+        # what a class has seen of a context but not kept as entries; all of it where it has seen nothing
+        left = F.when(F.col(f"s{c}") > 0, F.greatest(1 - F.sum(f"k{c}").over(ctx) / F.col(f"s{c}"), F.lit(1e-3))).otherwise(1.0)
+        seen = seen.withColumn(f"left{c}", left)
+    seen = seen.where("has").join(shared, "short")
+    p = [F.when(F.col(f"s{c}") > 0, F.col(f"k{c}") / F.col(f"s{c}")).otherwise(0.0) + F.col(f"left{c}") * F.col("base") for c in (0, 1)]
+    ratio = lambda a, b: F.log(F.greatest(a, F.lit(1e-12))) - F.log(F.greatest(b, F.lit(1e-12)))
+    grams = seen.select(F.col("gram").alias("key"), F.lit(False).alias("context"), ratio(p[1], p[0]).cast("float").alias("llr"), "ctx", "left0", "left1")
+    grams = stored(grams, "toxicity-grams")
+    backoff = grams.groupBy("ctx").agg(F.first("left0").alias("left0"), F.first("left1").alias("left1"))
+    backoff = backoff.select(F.col("ctx").alias("key"), F.lit(True).alias("context"), ratio(F.col("left1"), F.col("left0")).cast("float").alias("llr"))
+    return grams.select("key", "context", "llr").unionByName(backoff)
 
 
 def _discount(ones: float, twos: float) -> float:
     return ones / (ones + 2 * twos) if ones else 0.5
 
 
-def annotate_ratio(df: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+# ---------------------------------------------------------------- looking ratios up
+#: A context and an n-gram of the same bytes are two keys.
+TURN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def keys_of(key: np.ndarray, is_context: np.ndarray | bool) -> np.ndarray:
+    """Numbers that tell n-grams and contexts apart and spread evenly."""
+    return np.where(is_context, B.mix(key ^ TURN), B.mix(key))
+
+
+@dataclass
+class Table:
+    """Ratios by key."""
+
+    key: np.ndarray
+    llr: np.ndarray
+
+    def ratio(self, gram: np.ndarray) -> np.ndarray:
+        """The ratio of each n-gram: its own, or its context's, or none."""
+        table, llr = _numbers(self)
+        at = table.find(keys_of(gram, False))
+        out = llr[at]
+        rest = np.flatnonzero(np.isnan(out))
+        out[rest] = llr[table.find(keys_of(gram[rest] >> np.uint64(8), True))]
+        return np.nan_to_num(out, copy=False)
+
+
+_built: list[tuple[Table, tuple[Numbers, np.ndarray]]] = []
+
+
+def _numbers(table: Table) -> tuple[Numbers, np.ndarray]:
+    """A table's look-up and its ratios, with none for number -1; built once a worker, that of the last table is kept."""
+    if not _built or _built[0][0] is not table:
+        numbers = Numbers(len(table.key))
+        numbers.add(table.key)
+        _built[:] = [(table, (numbers, np.append(table.llr, np.float32(np.nan))))]
+    return _built[0][1]
+
+
+def evidence(g: Grams, llr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's log-likelihood ratio, from its n-grams' ratios, and its words."""
+    word = np.diff(np.concatenate(([0.0], np.cumsum(llr, dtype=np.float64)))[g.word])
+    word = np.log(1 - TOXIC + TOXIC * np.exp(np.minimum(word, 50.0)))
+    return np.diff(np.concatenate(([0.0], np.cumsum(word)))[g.first]), np.diff(g.first)
+
+
+def normalised(total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios for each word, and for each square root of the words."""
+    n = np.maximum(n, 1)
+    return total / n, total / np.sqrt(n)
+
+
+@dataclass
+class Model:
+    """Entries as a table and, if there are few enough, at hand; and the calibration."""
+
+    entries: DataFrame | None = None
+    table: object = None  # a broadcast Table
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
+
+    def score(self, mean: np.ndarray, root: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.column_stack((mean, root)) @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+
+def fit(counts: DataFrame, most: int | None = None) -> Model:
+    """The model of all counts, without calibration; broadcast if it has up to `most` entries."""
+    got = entries(counts)
+    if got is None:
+        return Model()
+    spark = counts.sparkSession
+    got = stored(got, "toxicity-model")
+    if got.count() > (BROADCAST if most is None else most):
+        return Model(got)
+    t = got.toArrow()
+    key, kind, llr = (t.column(i).to_numpy() for i in range(3))
+    return Model(got, spark.sparkContext.broadcast(Table(keys_of(key.view(np.uint64), kind), llr)))
+
+
+def _asked(docs: DataFrame, text_col: str) -> DataFrame:
+    """(part, key, context): the distinct n-grams of each part of docs, and their contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            data, offsets = B.column_bytes(batch.column(0))
+            for part in (p for a, b in B.slices(offsets) for p in B.pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], B.LETTER_BYTES)):
+                held.append(np.unique(grams_of(*part).gram))
+                size += len(held[-1])
+                if size > 1 << 22:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
+        gram = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        for kind, key in ((False, gram), (True, np.unique(gram >> np.uint64(8)))):
+            for at in range(0, len(key), 1 << 16):
+                own = key[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number, np.int64)), pa.array(own.view(np.int64)), pa.array(np.full(len(own), kind))], names=["part", "key", "context"])
+
+    return docs.select(text_col).mapInArrow(run, "part long, key long, context boolean")
+
+
+def answered(docs: DataFrame, model: Model, text_col: str) -> str:
+    """Joins what each part of docs asks for with the model's table; gives the folder of the answers by part.
+
+    An n-gram that the table lacks is answered as well, with null, so that a part can tell that the folder is its own.
+    """
+    where = scratch(docs.sparkSession, "toxicity-answers")
+    got = _asked(docs, text_col).join(model.entries, ["key", "context"], "left")
+    got.repartition("part").write.partitionBy("part").parquet(where)
+    return where
+
+
+def _answers(where: str, part: int) -> Table:
+    fs, path = pafs.FileSystem.from_uri(where)
+    if fs.get_file_info(f"{path}/part={part}").type == pafs.FileType.NotFound:
+        return Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    t = pq.read_table(f"{path}/part={part}", filesystem=fs, columns=["key", "context", "llr"], partitioning=None)
+    llr = t.column("llr").to_numpy()  # not a number where there is no entry
+    return Table(keys_of(t.column("key").to_numpy().view(np.uint64), t.column("context").to_numpy()), llr.astype(np.float32))
+
+
+def annotate_ratios(df: DataFrame, model: Model, text_col: str, keep: list[str] | None, fields: list[str], last) -> DataFrame:
+    """df with last(mean, root) of every whole text as double columns."""
+    shared, where = model.table, None
+    if model.entries is not None and shared is None:
+        df = df.select(*dict.fromkeys([*(df.columns if keep is None else keep), text_col]))
+        where = answered(df, model, text_col)
+
     def scorer():
-        return lambda data, offsets, col: [x.astype(np.float64) for x in model.ratios(data, offsets)]
+        if shared is not None:
+            table = shared.value
+        elif where is not None:
+            table = _answers(where, TaskContext.get().partitionId())
+        else:
+            table = None
+
+        def f(data, offsets, col):
+            total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
+            for part in B.pieces(data, offsets, B.LETTER_BYTES):
+                g = grams_of(*part)
+                if where is not None and (_numbers(table)[0].find(keys_of(g.gram, False)) < 0).any():
+                    raise RuntimeError("these texts are not those of the part that asked: the documents' plan is not repeatable")
+                own, words = evidence(g, table.ratio(g.gram) if table is not None else np.zeros(len(g.gram), np.float32))
+                total += own
+                n += words
+            return last(*normalised(total, n))
 
-    return B.annotate(df, text_col, [T.StructField(c, T.DoubleType()) for c in ("_ratio", "_clear", "_words")], scorer, keep)
+        return f
 
+    return B.annotate(df, text_col, [T.StructField(c, T.DoubleType()) for c in fields], scorer, keep)
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = 3000) -> Model:
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = 3000, most: int | None = None) -> Model:
     """Counts three quarters of the labelled rows; calibrates on a bounded sample of the last quarter, about `per_label` rows a class."""
     rows = with_label(docs.select(id_col, text_col), labels.select(id_col, "toxic"), "toxic", id_col)
     part = B.fold(id_col, 5)
-    model = fit(count(rows.where(part.isin(1, 2, 3)), text_col, "_label"))
-    held = sample_with_label(docs.select(id_col, text_col), labels, "toxic", per_label, 5, (4,), id_col)
-    got = annotate_ratio(held, model, text_col, ["_label"]).collect()
-    x = normalised(*(np.array([r[c] for r in got], float) for c in ("_ratio", "_clear", "_words")))
+    model = fit(count(rows.where(part.isin(1, 2, 3)), text_col, "_label"), most)
+    held = stored(sample_with_label(docs.select(id_col, text_col), labels, "toxic", per_label, 5, (4,), id_col).select("_label", text_col), "toxicity-held")
+    got = annotate_ratios(held, model, text_col, ["_label"], ["_mean", "_root"], lambda mean, root: [mean, root]).collect()
+    x = np.array([(r["_mean"], r["_root"]) for r in got], float).reshape(-1, 2)
     y = np.array([float(r["_label"] > 0) for r in got])
     if len(set(y)) == 2:
         model.weights = logistic(x, y, ridge=1e-3)
     else:
         share = y.mean() if len(y) else 0.0
-        model.weights = np.array([1.0 if len(model.grams) else 0.0, 0.0, 0.0, 0.0, 0.0, np.log((share + 1e-6) / (1 - share + 1e-6))])
+        model.weights = np.array([1.0 if model.entries is not None else 0.0, 0.0, np.log((share + 1e-6) / (1 - share + 1e-6))])
     return model
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """df with the toxicity (0 to 1) of every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def scorer():
-        m = shared.value
-
-        return lambda data, offsets, col: [m.scores(*m.ratios(data, offsets))]
-
-    return B.annotate(df, text_col, [T.StructField(out, T.DoubleType())], scorer, keep)
+    plain = Model(weights=model.weights)  # what executors need of it
+    return annotate_ratios(df, model, text_col, keep, [out], lambda mean, root: [plain.score(mean, root)])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

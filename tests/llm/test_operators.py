@@ -89,10 +89,109 @@ def test_op3_toxicity(spark, sf, docs):
     assert len({r.score for r in got if r.doc_id in (1000, 1001, 1002)}) == 1
 
 
+def brute_kneser_ney(texts, labels):
+    """P(byte | bytes before it in the word) of both classes by the textbook formulas, over dictionaries; a function of (class, n-gram)."""
+    from collections import defaultdict
+
+    def grams(t):
+        for w in re.findall(rb"[a-z\x80-\xff]+", lower(t).encode()):
+            w = b" " + w + b" "
+            for i in range(1, len(w)):
+                yield w[max(0, i - 7) : i + 1]
+
+    c = [Counter(), Counter()]
+    for t, y in zip(texts, labels):
+        c[y].update(grams(t))
+    every = set(c[0]) | set(c[1])
+    d = []
+    for n in c:
+        one, two = (sum(v == k for v in n.values()) for k in (1, 2))
+        d.append(one / (one + 2 * two) if one else 0.5)
+    kept = {g for g in every if c[0][g] + c[1][g] >= 3}
+    contexts = defaultdict(set)
+    for g in every:
+        contexts[g[-4:]].add(g[:-1])
+    after = defaultdict(list)
+    for s, ctx in contexts.items():
+        after[s[:-1]].append(len(ctx))
+
+    def base(s):
+        own = after[s[:-1]]
+        return max(len(contexts[s]) - 0.75, 0) / sum(own) + 0.75 * len(own) / sum(own) / 256
+
+    def left(k, ctx):
+        total = sum(n for g, n in c[k].items() if g[:-1] == ctx)
+        own = sum(max(c[k][g] - d[k], 0) for g in kept if g[:-1] == ctx)
+        return max(1 - own / total, 1e-3) if total else 1.0
+
+    def p(k, g):
+        total = sum(n for h, n in c[k].items() if h[:-1] == g[:-1])
+        return (max(c[k][g] - d[k], 0) / total if total else 0) + left(k, g[:-1]) * base(g[-4:])
+
+    return {g: np.log(p(1, g) / p(0, g)) for g in kept}, {g[:-1]: np.log(left(1, g[:-1]) / left(0, g[:-1])) for g in kept}, grams
+
+
+def test_op3_against_plain_kneser_ney(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "Then", "ab", "abba", "über", "stupidly", "x", "internationally"]) for _ in range(rng.randint(0, 9))) for _ in range(40)] + [None, "", "12 !"]
+    labels = [i % 3 // 2 for i in range(len(texts))]
+    want, contexts, grams = brute_kneser_ney(texts, labels)
+    rows = spark.createDataFrame(list(zip(texts, labels)), "text string, _label int")
+    name = lambda k: (k & (2**64 - 1)).to_bytes(8, "big").lstrip(b"\0")
+    model = toxicity.fit(toxicity.count(rows, "text", "_label"))
+    got = model.entries.collect()
+    assert {name(r.key): pytest.approx(r.llr, abs=1e-5) for r in got if not r.context} == want
+    assert {name(r.key): pytest.approx(r.llr, abs=1e-5) for r in got if r.context} == contexts
+    # whole texts, by both ways of looking up
+    for most in (None, 0):
+        model = toxicity.fit(toxicity.count(rows, "text", "_label"), most)
+        found = toxicity.annotate_ratios(rows.select("text"), model, "text", None, ["mean", "root"], lambda mean, root: [mean, root]).collect()
+        assert len(found) == len(texts)
+        for r in found:
+            words = re.findall(rb"[a-z\x80-\xff]+", lower(r.text).encode())
+            ratio = [sum(want.get(g, contexts.get(g[:-1], 0.0)) for g in grams(w.decode())) for w in words]
+            total = sum(np.log(0.99 + 0.01 * np.exp(x)) for x in ratio)
+            assert r["mean"] == pytest.approx(total / max(len(words), 1), abs=1e-4) and r["root"] == pytest.approx(total / max(len(words), 1) ** 0.5, abs=1e-4)
+
+
+def test_op3_both_ways_score_alike(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scores = []
+    for most in (None, 0):
+        model = toxicity.train(docs, labels, most=most)
+        assert (model.table is None) == (most == 0)
+        scores.append(sorted((r.text or "", r.s) for r in toxicity.score(docs, model, keep=["text"], out="s").collect()))
+    assert [t for t, _ in scores[0]] == [t for t, _ in scores[1]]
+    assert np.allclose([s for _, s in scores[0]], [s for _, s in scores[1]], atol=1e-6)
+
+
+@pytest.mark.parametrize("others", [200, 20_000])
+def test_op3_rare_expressions_count_at_every_size(spark, others):
+    """What three toxic texts say and no ordinary one has an entry, and counts for toxic, however many texts there are."""
+    rows = [(f"some words of text number {i} here", 0) for i in range(others)] + [(f"you zqxwvian {i}", 1) for i in range(3)] + [("some words here", 1)] * 20
+    model = toxicity.fit(toxicity.count(spark.createDataFrame(rows, "text string, _label int"), "text", "_label"))
+    g = toxicity.grams_of(*textbytes.column_bytes(pa.array(["zqxwvian"])))
+    table = model.table.value
+    assert (np.isin(toxicity.keys_of(g.gram, False), table.key)).all()
+    assert toxicity.evidence(g, table.ratio(g.gram))[0][0] > 5
+
+
 def test_op3_counts_cover_all_rows(spark):
     rows = spark.createDataFrame([("ab ab", 1), ("ab", 0), (None, 0), ("", 1)], "text string, _label int")
-    counts = {r.gram: r.n for r in toxicity.count(rows, "text", "_label").collect()}
-    assert sorted((n >> 32, n & 0xFFFFFFFF) for n in counts.values()) == [(2, 1)] * 3  # a, b, end
+    got = toxicity.count(rows, "text", "_label").collect()
+    assert sorted((r.c1, r.c0) for r in got) == [(2, 1)] * 3  # a, b, end
+
+
+def test_op3_long_texts_in_pieces():
+    """A text beyond a slice is worked on in pieces that cut no word, with the same n-grams."""
+    text = ("wörd another " * 400_000).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    parts = list(textbytes.pieces(data, offsets, textbytes.LETTER_BYTES))
+    assert len(parts) > 2 and b"".join(p.tobytes() for p, _ in parts) == text
+    whole = toxicity.grams_of(data, offsets)
+    assert np.concatenate([toxicity.grams_of(*p).gram for p in parts]).tolist() == whole.gram.tolist()
 
 
 def test_op5_quality(spark, sf, docs):
