@@ -1,9 +1,13 @@
 """Threshold-scaled sketches, in DataFrame functions only.
 
-A text's sketch keeps every hash of its word shingles below a fixed fraction of the range, and in any case
-the LEAST smallest, so that short texts have one too. Sketches merge by union and are exact up to a bound:
-the fraction, or the last of the smallest kept beyond it. Two sketches are compared on the hashes up to the
-lesser bound, which estimates resemblance and, between texts of very unequal length, containment.
+A text's sketch keeps every hash of its word shingles up to a bound: one SCALE-th of the range, or the
+LEAST-th smallest hash if that lies higher. The rule is the same for every text. A text of up to LEAST
+shingles is kept whole and compared exactly; between LEAST and SCALE * LEAST shingles the bound shrinks as
+the text grows, to the fixed fraction. A sketch says what its bound is, and within its bound it is complete,
+which is all that comparing needs: two sketches are compared on the hashes up to the lesser bound, which
+estimates resemblance and, between texts of very unequal length, containment. Sketches merge by union up to
+the least bound. Without the second part of the rule a text of 20 shingles would keep two or three hashes and
+a shorter one often none; `tests/llm` holds the error against exact similarities on both sides of the bound.
 
 Edge cases: a null text counts as empty. A text of fewer words than a shingle is one shingle of its own; a
 text without words has an empty sketch and no fingerprint digits. Two empty sketches are alike (1), an empty
@@ -20,6 +24,8 @@ WORDS = 5
 #: One hash in SCALE is kept.
 SCALE = 8
 LEAST = 64
+RANGE_BYTES = 4 << 20
+RANGES = 1 << 17
 BELOW = -(1 << 63) + (1 << 64) // SCALE
 FULL = (1 << 63) - 1
 
@@ -77,30 +83,32 @@ def merge(sketches: Column) -> Column:
     return F.struct(F.filter(kept, lambda x: x <= upto).alias("kept"), upto.alias("upto"))
 
 
-def with_next(rows: DataFrame, id_col: str, carry: list[str], tie: str, bucket_rows: int = 250, most: int = 4096) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, carry: list[str], tie: str, size: Column, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """rows with `next_<c>` for each column of carry: that of the next row by descending id, after the last of the first.
 
-    Rows are dealt by ranges of the id, so no window spans the table. Each range's first row is dealt to the
-    range before it in that order as well, where it stands last; the first of all stands in the last range.
+    Rows are dealt by ranges of the id of about `range_bytes` each by `size`, so no window spans the table.
+    There are RANGES ranges at most, so beyond a TB they grow (0.8 GB at 100 TB); a range is sorted by one
+    task, which spills. Each range's first row is dealt to the range before it in that order as well, where
+    it stands last; the first of all stands in the last range.
     """
-    n = rows.count()
+    spark = rows.sparkSession
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    parts = max(1, min(most, -(-n // bucket_rows)))
-    ids = rows.agg(F.percentile_approx(ident, [i / parts for i in range(1, parts)] or [0.5], 100_000), F.max(ident)).first()
-    bounds = sorted({*(ids[0] or []), ids[1]}) if ids[1] is not None else [0]
+    total, top = rows.agg(F.sum(size), F.max(ident)).first()
+    parts = max(1, min(RANGES, -(-int(total or 0) // range_bytes)))
+    bounds = [] if top is None else [top]
+    if parts > 1 and bounds:
+        shares = F.split(F.lit(" ".join(repr(i / parts) for i in range(1, parts))), " ").cast("array<double>")
+        bounds = sorted({*rows.agg(F.percentile_approx(ident, shares, max(10_000, 10 * parts))).first()[0], top})
+    # a row finds its range in two steps: among each run's last bounds, and among the bounds of that run
     width = int(len(bounds) ** 0.5) + 1
-    rough = [bounds[i] for i in range(width - 1, len(bounds), width)]
-    fine = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    runs = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     below = lambda bs, x: F.size(F.filter(bs, lambda b: b < x))
-    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs)) if xs else F.array().cast("array<bigint>")
-    table = F.array(*(longs(f) for f in fine))
-    lit_rough, last = longs(rough), len(fine) - 1
-    dealt = rows.withColumn("_id", ident)
-    dealt = dealt.withColumn("_rough", F.least(below(lit_rough, F.col("_id")), F.lit(last)))
-    dealt = dealt.withColumn("_fine", table[F.col("_rough")])
+    fine = spark.createDataFrame(list(enumerate(runs)), "_rough int, _fine array<bigint>")
+    rough = F.array(*(F.lit(r[-1]).cast("long") for r in runs[:-1])).cast("array<bigint>")
+    dealt = rows.withColumn("_id", ident).withColumn("_rough", below(rough, F.col("_id"))).join(F.broadcast(fine), "_rough")
     dealt = dealt.withColumn("_range", F.col("_rough") * width + below(F.col("_fine"), F.col("_id"))).withColumn("_first", F.array_contains("_fine", F.col("_id")))
     own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("ghost"))
-    ghost = F.struct(F.pmod(F.col("_range") + 1, F.lit(len(bounds))).alias("r"), F.lit(1).alias("ghost"))
+    ghost = F.struct(F.pmod(F.col("_range") + 1, F.lit(max(1, len(bounds)))).alias("r"), F.lit(1).alias("ghost"))
     dealt = dealt.withColumn("_at", F.explode(F.when(F.col("_first"), F.array(own, ghost)).otherwise(F.array(own))))
     dealt = dealt.select(*rows.columns, "_id", F.col("_at.r").alias("_r"), F.col("_at.ghost").alias("_ghost"))
     w = Window.partitionBy("_r").orderBy("_ghost", F.desc("_id"), tie)
@@ -112,7 +120,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
     """The contract's query."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"), sketch(F.col("text")).alias("sketch"))
-    rows = with_next(rows, "doc_id", ["text", "sketch"], "_tie")
+    rows = with_next(rows, "doc_id", ["text", "sketch"], "_tie", F.octet_length("text"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))).drop("next_text")

@@ -1,5 +1,6 @@
 """Each operator's query over tables with edge cases, against brute force, round trips or held-out accuracy."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -506,6 +507,72 @@ def test_op9_windows(spark, sf, docs, monkeypatch, block):
     assert got == want and sum(n for k, n in want.items() if k[-1]) >= 10
 
 
+def brute_shingles(text):
+    """Hashes of a text's five-word shingles, as signed numbers."""
+    chained = lambda hs: functools.reduce(lambda seed, h: xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed), hs, 42)
+    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.split("[ \t\n\r\f\x0b]+", (text or "").lower()) if x]
+    out = {chained(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {chained(w)} if w else set()
+    return sorted(h - (1 << 64) if h >> 63 else h for h in out)
+
+
+def brute_sketch(text):
+    """(hashes that are kept, bound up to which they are all of them)."""
+    h = brute_shingles(text)
+    low = [x for x in h if x < -(1 << 63) + (1 << 61)]
+    kept = low if len(low) >= 64 else h[:64]
+    return kept, (1 << 63) - 1 if len(kept) == len(h) else max(-(1 << 63) + (1 << 61) - 1, kept[-1])
+
+
+def brute_likeness(a, b):
+    upto = min(a[1], b[1])
+    x, y = ({h for h in s[0] if h <= upto} for s in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def hexed(s):
+    return "".join(f"{h & (1 << 64) - 1:016X}" for h in s[0])
+
+
+def test_op10_next_across_ranges(spark):
+    """The next row's columns, with many small ranges, null ids, repeated ids and a range that is one row, against a plain walk."""
+    rows = [(i * 7 % 101, f"t{i}", i) for i in range(101)] + [(None, "n", 200), (None, "m", 201), (50, "again", 202), (10**12, "far", 203)]
+    df = spark.createDataFrame(rows, "k long, text string, n long")
+    order = sorted(rows, key=lambda r: (-(-(1 << 63) if r[0] is None else r[0]), r[1]))
+    want = Counter((a[2], b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    from pyspark.sql import functions as F
+
+    for size in (1, 40, 10**6):
+        got = sketch.with_next(df, "k", ["text"], "text", F.octet_length("text"), size).collect()
+        assert Counter((r.n, r.next_text) for r in got) == want
+
+
+@pytest.mark.parametrize("n", [8, 40, 64, 65, 100, 300, 511, 700, 3000])
+def test_op10_error_on_both_sides_of_the_bound(spark, n):
+    """Estimates against exact similarities for texts of n words: exact while all hashes are kept, else within four deviations of a sample of 64 or more."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(n)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    a = [word() for _ in range(n)]
+    cuts = [n // 4, n // 2, n * 3 // 4, n]
+    others = [a[:c] + [word() for _ in range(n - c)] for c in cuts] + [a + [word() for _ in range(k * n)] for k in (1, 7)]
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(o)) for i, o in enumerate(others)], "i int, a string, b string")
+    df = df.select("i", sketch.sketch(F.col("a")).alias("x"), sketch.sketch(F.col("b")).alias("y"))
+    merged = sketch.merge(F.array("x", "y"))
+    got = df.select("i", "x", "y", merged.alias("m"), sketch.likeness(F.col("x"), F.col("y")).alias("like"), sketch.likeness(merged, F.col("y")).alias("part")).collect()
+    for r in got:
+        sa, sb = set(brute_shingles(" ".join(a))), set(brute_shingles(" ".join(others[r.i])))
+        exact = len(sa & sb) / len(sa | sb)
+        seen = 64 / len(sa | sb) if len(sa | sb) > 64 else 1
+        slack = 1e-9 if max(len(sa), len(sb)) <= 64 else 4 * (exact * (1 - exact) / 64 * max(0, 1 - seen)) ** 0.5 + 0.02
+        assert abs(r.like - exact) <= slack, (n, r.i)
+        # a merged sketch is the union's, complete up to its bound
+        assert list(r.m.kept) == sorted(h for h in sa | sb if h <= r.m.upto) and r.m.upto == min(r.x.upto, r.y.upto)
+        assert abs(r.part - len(sb) / len(sa | sb)) <= (1e-9 if len(sa | sb) <= 64 else 0.25)
+
+
 def test_op10_next_and_edited(spark, sf, docs):
     got = sketch.op10(spark, sf).collect()
     assert len(got) == len(docs)
@@ -515,8 +582,10 @@ def test_op10_next_and_edited(spark, sf, docs):
     for a, b in zip(order, order[1:] + order[:1]):
         t, u = a.text or "", b.text or ""
         h = len(t) // 2
-        want[(a.doc_id, len(t), hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest())] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        edited = t[: len(t) - h] + u[:h]
+        own, other, following = (brute_sketch(x) for x in (t, edited, u))
+        want[(a.doc_id, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(own), hexed(other), round(brute_likeness(own, other), 9), round(brute_likeness(own, following), 9))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     text = {d.doc_id: d.text or "" for d in docs}
     same = {}
     for r in got:
