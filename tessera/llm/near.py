@@ -1,15 +1,21 @@
-"""Near-duplicates by the resemblance of five-word shingles: the pipeline's stage.
+"""Near-duplicates by SimHash over five-word shingles: operator 4 for the pipeline, at a similarity of 0.8 or more.
 
 Two documents link if the Jaccard similarity of their sets of WORDS-word shingles is LEAST or more; one
 document of each connected component stays. Words are runs of other bytes than white space, ASCII letters
 in lower case; a text of fewer words is one shingle.
 
-Candidates come from BANDS bands of ROWS minima of hashed shingles each, over whole texts: two sets of
-similarity s miss all bands with a chance of (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8 and less above it. Every
-pair of a band's bucket is then compared by the exact similarity of the two sets, so a candidate that isn't
-similar never links. Equal sets are one candidate; buckets of the same members are one bucket. Buckets
-above HOT members are cut into chunks, and every pair of chunks becomes a bucket of its own. A bucket emits
-a spanning forest of its links, never all pairs.
+At 0.8 two 64-bit SimHash fingerprints differ in some 10 bits, which no choice of blocks of those bits can deal
+to shards. So shards are dealt by another sketch of the same sets: BANDS bands of ROWS minima of hashed
+shingles each, over whole texts. Two sets of similarity s miss all bands with a chance of (1 - s ** ROWS) **
+BANDS, 3e-6 at 0.8 and less above it. Each shard builds a BK-tree of its members' fingerprints and searches
+it with all of them at RADIUS bits, which a pair at 0.8 exceeds with a chance of about 1e-7 (3e-5 for sets of
+a handful of shingles). Every pair that the tree gives and that isn't connected yet is compared by the exact
+similarity of the two sets, so a candidate that isn't similar never links. Equal sets are one member; shards
+of the same members are one shard. A shard emits a spanning forest of its links, never all pairs.
+
+Shards above HOT members are hot. Their members first meet one of them, the pivot: by a join that needs no
+task to hold a shard. What is similar to the pivot is connected to it, so only members that aren't must meet
+the others: those and all are cut into chunks, and each chunk of the ones meets each of the others.
 
 Edge cases: texts without words (null, empty, white space) are copies of each other. Rows without an id take
 part and stay only if no member of their component has an id.
@@ -29,12 +35,13 @@ from pyspark.sql import types as T
 from . import textbytes as B
 from .components import components
 from .shared import stored
-from .simhash import NO_ID
+from .simhash import NO_ID, BKTree
 
 WORDS = 5
 #: The least similarity, as a fraction of whole numbers so that comparisons are exact.
 LEAST = (4, 5)
 BANDS, ROWS = 32, 5
+RADIUS = 24
 HOT = 1024
 #: Bytes of words; the rest is what bytes.split() splits at.
 SOLID = np.ones(256, dtype=bool)
@@ -111,55 +118,95 @@ def sets(docs: DataFrame, text_col: str) -> DataFrame:
     return B.annotate(docs, text_col, [T.StructField("set_id", T.LongType()), T.StructField("grams", T.BinaryType())], scorer, [])
 
 
+def prints(own: list[np.ndarray]) -> np.ndarray:
+    """SimHash fingerprints of sets of hashes: bit i is set if more than half of the hashes have it set."""
+    out = np.zeros(len(own), np.uint64)
+    for i, x in enumerate(own):
+        if len(x):
+            ones = np.unpackbits(B.mix(x ^ _ODD).view(np.uint8), bitorder="little").reshape(-1, 64).sum(0)
+            out[i] = np.packbits(2 * ones > len(x), bitorder="little").view("<u8")[0]
+    return out
+
+
+def alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether each of some sets (sorted, without repeats) is similar to one."""
+    up, down = LEAST
+    size = np.array([len(x) for x in others], np.int64)
+    flat = np.concatenate([*others, one[:0]])
+    if not len(one) or not len(flat):
+        return (size == 0) & (len(one) == 0)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    common = np.diff(np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(size)))])
+    return (up + down) * common >= up * (size + len(one))
+
+
 def forest(own: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links between distinct sets (sorted, without repeats): (member, root) by number."""
-    size = np.array([len(x) for x in own], np.int64)
-    up, down = LEAST
-    similar = lambda common, a, b: (up + down) * common >= up * (a + b)
-    if len(own) == 2:
-        return [(1, 0)] if similar(len(np.intersect1d(*own, assume_unique=True)), size[0], size[1]) else []
-    flat, who = np.concatenate(own), np.repeat(np.arange(len(own)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, who = flat[order], who[order]
-    at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    run = np.diff(np.concatenate((at, [len(flat)])))
-    number = np.empty(len(flat), np.int64)
-    number[order] = np.repeat(np.arange(len(at)), run)
-    label, ends = np.arange(len(own)), np.cumsum(size)
-    for i in range(1, len(own)):
-        mine = number[ends[i] - size[i] : ends[i]]
-        n = run[mine]
-        holders = who[np.repeat(at[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        common = np.bincount(holders, minlength=len(own))[:i]
-        near = np.unique(label[:i][similar(common, size[:i], size[i])])
-        if len(near):
-            label[: i + 1][np.isin(label[: i + 1], [*near, i])] = near[0]
+    fps, of = np.unique(prints(own), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    members = np.split(order, np.cumsum(np.bincount(of))[:-1])
+    label = np.arange(len(own))
+    for at, near in BKTree(fps.tolist()).batch(fps, RADIUS):
+        met = np.concatenate([members[j] for j in near[near >= at].tolist()])
+        for i in members[at].tolist():
+            to = met[label[met] != label[i]]
+            if len(to) and len(to := to[alike(own[i], [own[j] for j in to.tolist()])]):
+                joined = np.unique(np.append(label[to], label[i]))
+                label[np.isin(label, joined)] = joined[0]
     return [(i, int(x)) for i, x in enumerate(label) if i != x]
 
 
+def held(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(set_id, grams) of the wanted sets, each from the document that stands for it."""
+    reps = distinct.join(wanted, "set_id", "left_semi").select("rep").distinct()
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return sets(docs.join(reps, ident == F.col("rep"), "left_semi").select(text_col), text_col)
+
+
+def to_pivot(hot: DataFrame, own: DataFrame) -> DataFrame:
+    """(shard, set_id, n, pivot, linked): members of hot shards (shard, set_id, n), whether they are similar to their shard's pivot."""
+    pivots = hot.groupBy("shard").agg(F.min("set_id").alias("pivot"))
+    pivots = pivots.join(own.select(F.col("set_id").alias("pivot"), F.col("grams").alias("pivot_grams")).dropDuplicates(["pivot"]), "pivot")
+    rows = hot.join(own.dropDuplicates(["set_id"]), "set_id").join(pivots, "shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = [bool(alike(np.frombuffer(p.as_py(), np.uint64), [np.frombuffer(g.as_py(), np.uint64)])[0]) for g, p in zip(batch.column(4), batch.column(5))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_())], names=["shard", "set_id", "n", "pivot", "linked"])
+
+    return rows.select("shard", "set_id", "n", "pivot", "grams", "pivot_grams").mapInArrow(run, "shard long, set_id long, n long, pivot long, linked boolean")
+
+
 def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): a spanning forest, for each bucket, of the links between the sets of distinct (set_id, rep, bands)."""
+    """(a, b): a spanning forest, for each shard, of the links between the sets of distinct (set_id, rep, bands)."""
     every = distinct.select("set_id", F.explode("bands").alias("shard"))
     sizes = every.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("set_id").alias("x"), F.bit_xor(F.xxhash64("set_id")).alias("y"))
-    buckets = stored(sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("shard")).select("shard", "n"), "near-buckets")
-    chunks = F.ceil(F.col("n") / HOT).cast("int")
-    own = F.pmod(F.xxhash64("set_id", F.lit(1)), chunks)
-    pair = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64(F.col("shard"), F.least(own, j), F.greatest(own, j)))
-    dealt = F.explode(F.when(F.col("n") <= HOT, F.array("shard")).otherwise(pair)).alias("shard")
-    members = stored(every.join(buckets, "shard").select("set_id", dealt), "near-members")
-    wanted = distinct.join(members.select("set_id").distinct(), "set_id", "left_semi").select("rep").distinct()
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    held = sets(docs.join(wanted, ident == F.col("rep"), "left_semi").select(text_col), text_col)
+    shards = stored(sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("shard")).select("shard", "n"), "near-shards")
+    members = stored(every.join(shards, "shard").select("shard", "set_id", "n"), "near-members")
+    dealt, found = members.where(F.col("n") <= HOT).select("shard", "set_id"), None
+    if shards.where(F.col("n") > HOT).limit(1).count():
+        hot = members.where(F.col("n") > HOT)
+        met = stored(to_pivot(hot, held(docs, distinct, hot.select("set_id").distinct(), id_col, text_col)), "near-pivots")
+        found = met.where("linked and set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
+        rest = met.where("not linked")
+        ones = rest.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("ones"))
+        others = F.ceil(F.col("n") / HOT).cast("int")
+        chunk = lambda seed, n: F.pmod(F.xxhash64("set_id", F.lit(seed)), n).cast("int")
+        name = lambda i, j: F.xxhash64("shard", i, j)
+        mine = rest.join(ones, "shard").select(F.explode(F.transform(F.sequence(F.lit(0), others - 1), lambda j: name(chunk(1, F.col("ones")), j))).alias("shard"), "set_id")
+        theirs = met.join(ones, "shard").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("ones") - 1), lambda i: name(i, chunk(2, others)))).alias("shard"), "set_id")
+        dealt = stored(dealt.unionByName(mine).unionByName(theirs), "near-dealt")
+    own = held(docs, distinct, dealt.select("set_id").distinct(), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held_ids, held_sets = None, [], []
+        key, ids, its = None, [], []
         out: list[tuple[int, int]] = []
 
         def close() -> None:
-            if len(held_ids) > 1:
-                out.extend((held_ids[i], held_ids[j]) for i, j in forest(held_sets))
-            held_ids.clear()
-            held_sets.clear()
+            if len(ids) > 1:
+                out.extend((ids[i], ids[j]) for i, j in forest(its))
+            ids.clear()
+            its.clear()
 
         def emit() -> pa.RecordBatch:
             pairs = np.array(out, np.int64).reshape(-1, 2)
@@ -171,17 +218,18 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> D
                 if shard != key:
                     close()
                     key = shard
-                # rows that repeat an id may bring a set twice
-                if not held_ids or held_ids[-1] != set_id:
-                    held_ids.append(set_id)
-                    held_sets.append(np.frombuffer(grams.as_py(), np.uint64))
+                # rows that repeat an id may bring a set twice, and a set may stand on both sides of a chunk pair
+                if not ids or ids[-1] != set_id:
+                    ids.append(set_id)
+                    its.append(np.frombuffer(grams.as_py(), np.uint64))
             if len(out) > 50_000:
                 yield emit()
         close()
         yield emit()
 
-    dealt = members.join(held, "set_id").select("shard", "set_id", "grams").repartition("shard").sortWithinPartitions("shard", "set_id")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = dealt.join(own, "set_id").select("shard", "set_id", "grams").repartition("shard").sortWithinPartitions("shard", "set_id")
+    out = dealt.mapInArrow(run, "a long, b long")
+    return out if found is None else out.unionByName(found)
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
