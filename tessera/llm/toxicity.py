@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from . import textbytes as B
 from .labelled import logistic, sample_with_label, with_label
 from .shared import scratch, stored
-from .wordmemory import Numbers
+from .wordmemory import Numbers, names, ragged
 
 ORDER = 8  # bytes of the longest n-gram: they fill a 64-bit number
 SHORT = 3
@@ -50,6 +50,10 @@ GAP = 32
 #: Share of the shared distribution that goes to all bytes alike, and its discount.
 FLOOR = 0.75
 BROADCAST = 6_000_000
+#: Words whose ratios a worker remembers; results don't depend on it.
+REMEMBERED = 1 << 19
+#: Masks of a number's last 1 to ORDER bytes.
+FIRST = np.array([(1 << 8 * (n + 1)) - 1 for n in range(ORDER)], np.uint64)
 
 
 @dataclass
@@ -65,25 +69,31 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> Grams:
     """An n-gram for each byte of each word and for the gap that ends it. Gaps are the byte GAP."""
     low = B.LOWER[data]
     starts, ends, first = B.words(low, offsets, B.LETTER_BYTES)
+    return Grams(*word_grams(low, starts, ends), first)
+
+
+def word_grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of some words, and each word's first (words + 1)."""
     size = ends - starts
     if not len(starts):
-        return Grams(np.zeros(0, np.uint64), np.zeros(1, np.int64), first)
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     # all words, each after a gap, and a gap at the end
-    inside = B.LETTER_BYTES[low]
     gap = np.cumsum(size + 1) - (size + 1)
     flat = np.full(int(gap[-1] + size[-1]) + 2, GAP, np.uint8)
     body = np.ones(len(flat), bool)
     body[gap], body[-1] = False, False
-    flat[body] = low[inside]
+    flat[body] = ragged(low, starts, size)
     # the last ORDER bytes up to each place, as a number
     last = flat.astype(np.uint64)
     for by in (1, 2, 4):
         last[by:] |= last[:-by] << np.uint64(8 * by)
     # the n-grams of word j end at its bytes and the gap after it, from gap[j] + 1 to gap[j + 1]
-    deep = np.arange(1, len(flat)) - np.repeat(gap, size + 1)
-    taken = np.minimum(deep + 1, ORDER).astype(np.uint64)
-    gram = last[1:] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * taken))
-    return Grams(gram, np.append(gap, len(gram)), first)
+    deep = np.arange(1, len(flat), dtype=np.int32)
+    deep -= np.repeat(gap.astype(np.int32), size + 1)
+    np.minimum(deep, ORDER - 1, out=deep)
+    gram = last[1:]
+    gram &= FIRST[deep]
+    return gram, np.append(gap, len(gram))
 
 
 def count(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
@@ -93,7 +103,7 @@ def count(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
         for batch in batches:
             data, offsets = B.column_bytes(batch.column(batch.schema.get_field_index(text_col)))
             toxic = batch.column(batch.schema.get_field_index(label_col)).to_numpy(zero_copy_only=False) > 0
-            for a, b in B.slices(offsets, 2 * B.SLICE_BYTES, 8 * B.SLICE_ROWS):
+            for a, b in B.slices(offsets, rows=8 * B.SLICE_ROWS):
                 for part in B.pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], B.LETTER_BYTES):
                     g = grams_of(*part)
                     bad = np.repeat(toxic[a:b], np.diff(g.word[g.first]))
@@ -163,38 +173,78 @@ def keys_of(key: np.ndarray, is_context: np.ndarray | bool) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Ratios by key."""
+    """Ratios by key; those of a part's answers are not a number where the model has no entry, and `whole`: what they lack wasn't asked for."""
 
     key: np.ndarray
     llr: np.ndarray
+    whole: bool = False
 
-    def ratio(self, gram: np.ndarray) -> np.ndarray:
-        """The ratio of each n-gram: its own, or its context's, or none."""
-        table, llr = _numbers(self)
-        at = table.find(keys_of(gram, False))
-        out = llr[at]
-        rest = np.flatnonzero(np.isnan(out))
-        out[rest] = llr[table.find(keys_of(gram[rest] >> np.uint64(8), True))]
-        return np.nan_to_num(out, copy=False)
 
+class Ratios:
+    """Looks ratios up in a table, and remembers those of whole words."""
 
-_built: list[tuple[Table, tuple[Numbers, np.ndarray]]] = []
+    def __init__(self, table: Table):
+        self.whole, self.numbers = table.whole, Numbers(len(table.key))
+        self.numbers.add(table.key)
+        self.llr = np.append(table.llr, np.float32(np.nan))  # none for number -1
+        self.forget()
 
+    def forget(self) -> None:
+        self.words, self.of_word = Numbers(REMEMBERED), np.zeros(REMEMBERED)
+
+    def of_grams(self, gram: np.ndarray) -> np.ndarray:
+        """The ratio of each n-gram: its own, or its context's, or none."""
+        at = self.numbers.find(keys_of(gram, False))
+        if self.whole and (at < 0).any():
+            raise RuntimeError("these texts are not those of the part that asked: the documents' plan is not repeatable")
+        out = self.llr[at]
+        rest = np.flatnonzero(np.isnan(out))
+        out[rest] = self.llr[self.numbers.find(keys_of(gram[rest] >> np.uint64(8), True))]
+        return np.nan_to_num(out, copy=False)
 
-def _numbers(table: Table) -> tuple[Numbers, np.ndarray]:
-    """A table's look-up and its ratios, with none for number -1; built once a worker, that of the last table is kept."""
+    def of_words(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The summed ratio of each word."""
+        out = np.zeros(len(starts))
+        for a in range(0, len(starts), REMEMBERED // 2):
+            s, e = starts[a : a + REMEMBERED // 2], ends[a : a + REMEMBERED // 2]
+            h = names(low, s, e)
+            at = self.words.find(h)
+            miss = np.flatnonzero(at < 0)
+            if len(miss):
+                fresh, where = np.unique(h[miss], return_index=True)
+                if self.words.n + len(fresh) > REMEMBERED:
+                    self.forget()
+                    miss = np.arange(len(h))
+                    fresh, where = np.unique(h, return_index=True)
+                gram, word = word_grams(low, s[miss[where]], e[miss[where]])
+                total = np.concatenate(([0.0], np.cumsum(self.of_grams(gram), dtype=np.float64)))
+                self.of_word[self.words.add(fresh)] = np.diff(total[word])
+                at[miss] = self.words.find(h[miss])
+            out[a : a + len(s)] = self.of_word[at]
+        return out
+
+
+_built: list[tuple[Table, Ratios]] = []
+
+
+def ratios(table: Table) -> Ratios:
+    """A table's look-up, built once a worker; that of the last table is kept."""
     if not _built or _built[0][0] is not table:
-        numbers = Numbers(len(table.key))
-        numbers.add(table.key)
-        _built[:] = [(table, (numbers, np.append(table.llr, np.float32(np.nan))))]
+        _built[:] = [(table, Ratios(table))]
     return _built[0][1]
 
 
-def evidence(g: Grams, llr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's log-likelihood ratio, from its n-grams' ratios, and its words."""
-    word = np.diff(np.concatenate(([0.0], np.cumsum(llr, dtype=np.float64)))[g.word])
-    word = np.log(1 - TOXIC + TOXIC * np.exp(np.minimum(word, 50.0)))
-    return np.diff(np.concatenate(([0.0], np.cumsum(word)))[g.first]), np.diff(g.first)
+def evidence(data: np.ndarray, offsets: np.ndarray, table: Table | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's log-likelihood ratio, and its words."""
+    total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
+    for part, bounds in B.pieces(data, offsets, B.LETTER_BYTES):
+        low = B.LOWER[part]
+        starts, ends, first = B.words(low, bounds, B.LETTER_BYTES)
+        word = ratios(table).of_words(low, starts, ends) if table is not None else np.zeros(len(starts))
+        word = np.log(1 - TOXIC + TOXIC * np.exp(np.minimum(word, 50.0)))
+        total += np.diff(np.concatenate(([0.0], np.cumsum(word)))[first])
+        n += np.diff(first)
+    return total, n
 
 
 def normalised(total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,10 +315,10 @@ def answered(docs: DataFrame, model: Model, text_col: str) -> str:
 def _answers(where: str, part: int) -> Table:
     fs, path = pafs.FileSystem.from_uri(where)
     if fs.get_file_info(f"{path}/part={part}").type == pafs.FileType.NotFound:
-        return Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        return Table(np.zeros(0, np.uint64), np.zeros(0, np.float32), True)
     t = pq.read_table(f"{path}/part={part}", filesystem=fs, columns=["key", "context", "llr"], partitioning=None)
     llr = t.column("llr").to_numpy()  # not a number where there is no entry
-    return Table(keys_of(t.column("key").to_numpy().view(np.uint64), t.column("context").to_numpy()), llr.astype(np.float32))
+    return Table(keys_of(t.column("key").to_numpy().view(np.uint64), t.column("context").to_numpy()), llr.astype(np.float32), True)
 
 
 def annotate_ratios(df: DataFrame, model: Model, text_col: str, keep: list[str] | None, fields: list[str], last) -> DataFrame:
@@ -286,18 +336,7 @@ def annotate_ratios(df: DataFrame, model: Model, text_col: str, keep: list[str]
         else:
             table = None
 
-        def f(data, offsets, col):
-            total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-            for part in B.pieces(data, offsets, B.LETTER_BYTES):
-                g = grams_of(*part)
-                if where is not None and (_numbers(table)[0].find(keys_of(g.gram, False)) < 0).any():
-                    raise RuntimeError("these texts are not those of the part that asked: the documents' plan is not repeatable")
-                own, words = evidence(g, table.ratio(g.gram) if table is not None else np.zeros(len(g.gram), np.float32))
-                total += own
-                n += words
-            return last(*normalised(total, n))
-
-        return f
+        return lambda data, offsets, col: last(*normalised(*evidence(data, offsets, table)))
 
     return B.annotate(df, text_col, [T.StructField(c, T.DoubleType()) for c in fields], scorer, keep)
 

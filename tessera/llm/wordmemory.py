@@ -36,7 +36,7 @@ class Numbers:
     """Numbers 0, 1, .. of up to `most` distinct keys (evenly spread 64-bit numbers) by open addressing."""
 
     def __init__(self, most: int):
-        self.bits = max(4, (4 * most - 1).bit_length()) if most else 4
+        self.bits = max(4, (2 * most).bit_length())
         self.table, self.keys, self.n = np.full(1 << self.bits, -1, np.int32), np.zeros(most + 1, np.uint64), 0
 
     def _slot(self, h: np.ndarray) -> np.ndarray:

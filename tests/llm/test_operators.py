@@ -173,10 +173,10 @@ def test_op3_rare_expressions_count_at_every_size(spark, others):
     """What three toxic texts say and no ordinary one has an entry, and counts for toxic, however many texts there are."""
     rows = [(f"some words of text number {i} here", 0) for i in range(others)] + [(f"you zqxwvian {i}", 1) for i in range(3)] + [("some words here", 1)] * 20
     model = toxicity.fit(toxicity.count(spark.createDataFrame(rows, "text string, _label int"), "text", "_label"))
-    g = toxicity.grams_of(*textbytes.column_bytes(pa.array(["zqxwvian"])))
+    text = textbytes.column_bytes(pa.array(["zqxwvian"]))
     table = model.table.value
-    assert (np.isin(toxicity.keys_of(g.gram, False), table.key)).all()
-    assert toxicity.evidence(g, table.ratio(g.gram))[0][0] > 5
+    assert np.isin(toxicity.keys_of(toxicity.grams_of(*text).gram, False), table.key).all()
+    assert toxicity.evidence(*text, table)[0][0] > 5
 
 
 def test_op3_counts_cover_all_rows(spark):
