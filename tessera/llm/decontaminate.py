@@ -8,7 +8,8 @@ words than WINDOW is one window as a whole, looked up by its own length.
 
 The items are the stated side: their index is read in blocks of at most BLOCK_WORDS words (some 40 bytes
 each), against which all documents are held where they are scanned. No document is shuffled, however many
-share a passage. A single block is broadcast; more blocks lie in the shared folder and are read in turn.
+share a passage. A single block is broadcast; more blocks are built by executors, lie in the shared folder and
+are read in turn, each once for GROUP_BYTES of texts.
 
 Edge cases: null and empty texts have no words, no hits and no items; an item without words or id matches
 nothing; repeated items count once by id; an empty benchmark leaves every document clean.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import io
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +37,7 @@ from .shared import scratch
 WINDOW = 10
 K = 5
 BLOCK_WORDS = 1_000_000
+GROUP_BYTES = 32 << 20
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,57 +137,76 @@ def _has(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
-def index(spark, items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """A function that gives an iterator of the blocks, to call on executors."""
-    items = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
-    size = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(1, math.ceil(size / 6 / BLOCK_WORDS))
+class Blocks:
+    """The blocks of an index, to be read on executors: one that was broadcast, or files in the shared folder."""
+
+    def __init__(self, shared=None, where: str = "", paths: list[str] | None = None):
+        self.shared, self.where, self.paths = shared, where, paths or []
+        #: Texts of so many bytes meet a block together, so that a task reads a block once for them.
+        self.group_bytes = 0 if shared is not None else GROUP_BYTES
 
-    def block(i: int) -> Block:
-        t = items.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == i).toArrow()
-        return Block.build(t.column(0).to_pylist(), t.column(1).combine_chunks() if t.num_rows else pa.array([], pa.string()))
+    def __iter__(self) -> Iterator[Block]:
+        if self.shared is not None:
+            yield self.shared.value
+            return
+        fs, _ = pafs.FileSystem.from_uri(self.where)
+        for path in self.paths:
+            with fs.open_input_stream(path) as f:
+                yield np.load(io.BytesIO(f.read()), allow_pickle=True)[0]
 
+
+def index(spark, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Blocks:
+    """The items' index. A single block is built here; more are built by executors, one task at a time each."""
+    items = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / 6 / BLOCK_WORDS))
+    built = lambda t: Block.build(t.column("id").to_pylist(), t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()))
     if n == 1:
-        shared = spark.sparkContext.broadcast(block(0))
-        return lambda: iter([shared.value])
+        return Blocks(spark.sparkContext.broadcast(built(items.toArrow())))
     where = scratch(spark, "winnowing")
-    fs, path = pafs.FileSystem.from_uri(where)
-    fs.create_dir(path)
-    for i in range(n):
-        b, buf = block(i), io.BytesIO()
-        np.save(buf, np.array([b], dtype=object), allow_pickle=True)
-        with fs.open_output_stream(f"{path}/{i}.npy") as f:
-            f.write(buf.getvalue())
 
-    def read() -> Iterator[Block]:
-        fs, path = pafs.FileSystem.from_uri(where)
-        for i in range(n):
-            with fs.open_input_stream(f"{path}/{i}.npy") as f:
-                yield np.load(io.BytesIO(f.read()), allow_pickle=True)[0]
+    def write(t: pa.Table) -> pa.Table:
+        fs, root = pafs.FileSystem.from_uri(where)
+        fs.create_dir(root, recursive=True)
+        path, buf = f"{root}/{uuid.uuid4().hex}.npy", io.BytesIO()
+        np.save(buf, np.array([built(t)], dtype=object), allow_pickle=True)
+        with fs.open_output_stream(path) as f:
+            f.write(buf.getvalue())
+        return pa.table({"path": [path]})
 
-    return read
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    return Blocks(None, where, sorted(r.path for r in dealt.groupBy("block").applyInArrow(write, "path string").collect()))
 
 
-def scan(docs: DataFrame, blocks, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items (sorted names), of every whole text."""
+def _matched(docs: DataFrame, blocks: Blocks, text_col: str, fields: list[T.StructField], result, keep: list[str] | None) -> DataFrame:
+    """docs with result(first word of each row, hit words before each word, items by row) of every whole text."""
 
     def scorer():
-        def f(data, offsets, col):
-            h, first = words_of(data, offsets)
-            hit, found = np.zeros(len(h), bool), {}
-            for b in blocks():
-                more, names = b.match(h, first)
-                hit |= more
-                for r, s in names.items():
-                    found.setdefault(r, set()).update(s)
-            total = np.concatenate(([0], np.cumsum(hit)))
-            items = [sorted(found.get(r, ())) for r in range(len(first) - 1)]
-            return [np.diff(first), total[first[1:]] - total[first[:-1]], np.array([len(x) for x in items], np.int64), pa.array(items, pa.list_(pa.string()))]
+        def f(parts):
+            known = [words_of(data, offsets) for data, offsets, _ in parts]
+            hits, found = [np.zeros(len(h), bool) for h, _ in known], [{} for _ in known]
+            for b in blocks:
+                for (h, first), hit, items in zip(known, hits, found):
+                    more, names = b.match(h, first)
+                    hit |= more
+                    for r, s in names.items():
+                        items.setdefault(r, set()).update(s)
+            return [result(first, np.concatenate(([0], np.cumsum(hit))), items) for (_, first), hit, items in zip(known, hits, found)]
 
         return f
 
+    return B.annotate_groups(docs, text_col, fields, scorer, keep, blocks.group_bytes)
+
+
+def scan(docs: DataFrame, blocks: Blocks, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items (sorted names), of every whole text."""
+
+    def result(first, total, found):
+        items = [sorted(found.get(r, ())) for r in range(len(first) - 1)]
+        return [np.diff(first), total[first[1:]] - total[first[:-1]], np.array([len(x) for x in items], np.int64), pa.array(items, pa.list_(pa.string()))]
+
     fields = [T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")] + [T.StructField("items", T.ArrayType(T.StringType()))]
-    return B.annotate(docs, text_col, fields, scorer, keep)
+    return _matched(docs, blocks, text_col, fields, result, keep)
 
 
 def digest(names: list[str]) -> str:
@@ -200,23 +222,17 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops the rows of docs that share a window with a benchmark item."""
+    """Pipeline stage: drops the rows of docs that share a window with a benchmark item.
 
+    Null, empty and wordless texts share nothing and stay; repeated rows stay or go together, ids don't matter.
+    Items without words or id match nothing, so an empty benchmark keeps every row. An empty table stays empty.
+    Columns of any name pass through.
+    """
     blocks = index(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-    def scorer():
-        def f(data, offsets, col):
-            h, first = words_of(data, offsets)
-            hit = np.zeros(len(h), bool)
-            for b in blocks():
-                hit |= b.match(h, first)[0]
-            total = np.concatenate(([0], np.cumsum(hit)))
-            return [total[first[1:]] > total[first[:-1]]]
-
-        return f
-
     leaked = B.free(docs, "_leaked")
-    return B.annotate(docs, "text", [T.StructField(leaked, T.BooleanType())], scorer).where(~F.col(leaked)).select(*docs.columns)
+    marked = _matched(docs, blocks, "text", [T.StructField(leaked, T.BooleanType())], lambda first, total, found: [total[first[1:]] > total[first[:-1]]], None)
+    return marked.where(~F.col(leaked)).select(*docs.columns)
 
 
 OP9_SQL = r"""

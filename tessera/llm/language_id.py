@@ -75,21 +75,39 @@ def lettered(data: np.ndarray, offsets: np.ndarray, col: pa.Array) -> np.ndarray
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss by dual coordinate descent; y is +1 or -1, classes weigh alike."""
-    n, d = x.shape
-    w, bias, alpha = np.zeros(d), 0.0, np.zeros(n)
+@dataclass
+class Rows:
+    """Sparse feature rows: row i has the values x[first[i] : first[i + 1]] at the places `at` of the same range."""
+
+    at: np.ndarray
+    x: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        first = np.concatenate(([0], np.cumsum([len(a) for a, _ in rows]))).astype(np.int64)
+        empty = np.zeros(0, np.int16), np.zeros(0, np.float32)
+        return Rows(np.concatenate([a for a, _ in [*rows, empty]]), np.concatenate([v for _, v in [*rows, empty]]), first)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.at[self.first[i] : self.first[i + 1]], self.x[self.first[i] : self.first[i + 1]]
+
+
+def fit_svm(rows: Rows, own: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+    """A linear machine on the rows numbered `own` with squared hinge loss by dual coordinate descent; y is +1 or -1, classes weigh alike."""
+    n = len(own)
+    w, bias, alpha = np.zeros(DIM), 0.0, np.zeros(n)
     weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum())))
     soft = 1 / (2 * c * weight)
-    q = (x.astype(np.float64) ** 2).sum(1) + 1 + soft
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (x[i] @ w + bias) - 1 + soft[i] * alpha[i]
-            new = max(alpha[i] - g / q[i], 0.0)
+            at, x = rows[own[i]]
+            g = y[i] * (x @ w[at] + bias) - 1 + soft[i] * alpha[i]
+            new = max(alpha[i] - g / (x @ x + 1 + soft[i]), 0.0)
             if step := new - alpha[i]:
-                w += step * y[i] * x[i]
+                w[at] += step * y[i] * x
                 bias += step * y[i]
                 alpha[i] = new
                 moved = max(moved, abs(step))
@@ -139,8 +157,8 @@ class Model:
         return lang, p
 
 
-def sample_features(df: DataFrame, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and labels of a bounded sample; each row is at most DIM float32 values, sent sparsely."""
+def sample_features(df: DataFrame, text_col: str, label_col: str) -> tuple[Rows, np.ndarray]:
+    """Feature rows and labels of a bounded sample, sparse from the executors on."""
 
     def scorer():
         def f(data, offsets, col):
@@ -151,27 +169,24 @@ def sample_features(df: DataFrame, text_col: str, label_col: str) -> tuple[np.nd
         return f
 
     got = B.annotate(df, text_col, [T.StructField("_at", T.BinaryType()), T.StructField("_x", T.BinaryType())], scorer, keep=[label_col]).where("_at is not null").collect()
-    x = np.zeros((len(got), DIM), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["_at"], np.int16)] = np.frombuffer(r["_x"], np.float32)
-    order = sorted(range(len(got)), key=lambda i: (got[i][label_col], bytes(got[i]["_at"]), bytes(got[i]["_x"])))
-    return x[order], np.array([got[i][label_col] for i in order], dtype=object)
+    got = sorted((r[label_col], bytes(r["_at"]), bytes(r["_x"])) for r in got)
+    return Rows.of([(np.frombuffer(a, np.int16), np.frombuffer(x, np.float32)) for _, a, x in got]), np.array([r[0] for r in got], dtype=object)
 
 
-def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 600, seed: int = 11) -> Model:
-    """Fits all machines on a bounded sample: about `per_label` rows a language, by a hash of the id."""
-    sample = B.bounded_sample(rows.where(F.col(text_col).isNotNull()), id_col, label_col, per_label, seed)
+def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 600, seed: int = 11, most_labels: int = 512, most_rows: int = 24_000) -> Model:
+    """Fits all machines on a bounded sample by a hash of the id: about `per_label` rows of each of the `most_labels` most frequent languages, `most_rows` in all."""
+    sample = B.bounded_sample(rows.where(F.col(text_col).isNotNull()), id_col, label_col, per_label, seed, most_labels, most_rows)
     x, y = sample_features(sample, text_col, label_col)
     langs: dict[str, list[str]] = {}
     for lang in sorted(set(y)):
         langs.setdefault(family_of(lang), []).append(lang)
     families = sorted(langs)
-    fam = np.array([family_of(v) for v in y], dtype=object)
-    machines = [fit_svm(x, np.where(fam == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(DIM, np.float32), 0.0) for f in families]
+    fam, every = np.array([family_of(v) for v in y], dtype=object), np.arange(len(y))
+    machines = [fit_svm(x, every, np.where(fam == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(DIM, np.float32), 0.0) for f in families]
     pairs = [(f, a, b) for f in families for a in range(len(langs[f])) for b in range(a + 1, len(langs[f]))]
     for f, a, b in pairs:
-        own = (y == langs[f][a]) | (y == langs[f][b])
-        machines.append(fit_svm(x[own], np.where(y[own] == langs[f][a], 1.0, -1.0)))
+        own = np.flatnonzero((y == langs[f][a]) | (y == langs[f][b]))
+        machines.append(fit_svm(x, own, np.where(y[own] == langs[f][a], 1.0, -1.0)))
     weights = np.stack([w for w, _ in machines], 1) if machines else np.zeros((DIM, 0), np.float32)
     return Model(families, langs, weights.astype(np.float32), np.array([b for _, b in machines], np.float32), pairs)
 
@@ -202,7 +217,13 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Pipeline stage: keeps the rows of docs whose language is told with a score of `least` or more."""
+    """Pipeline stage: keeps the rows of docs whose language is told with a score of `least` or more.
+
+    Learns from the rows at hand that have a language, by the folds of the query. Null, empty and letterless
+    texts are `und` and go; rows with a null id or language, and repeated rows, are judged by their text alone
+    and stay or go together. Without any learned language every row goes. An empty table stays empty. Columns
+    of any name pass through.
+    """
     model = train(docs.where(B.fold("doc_id", 3) != 1))
     lang, score = B.free(docs, "_lang_pred"), B.free(docs, "_lang_score")
     return identify(docs, model, lang_out=lang, score_out=score).where((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)

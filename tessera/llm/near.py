@@ -246,7 +246,12 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str, most_broadcast: int = 2_000_000) -> DataFrame:
-    """Pipeline stage: keeps of each component the row with the smallest id (one of them, if rows repeat it)."""
+    """Pipeline stage: keeps of each component the row with the smallest id (one of them, if rows repeat it).
+
+    All texts without words (null, empty, blank) are one component. A row without an id stays only if no
+    member of its component has one, and then one such row does. An empty table stays empty. Columns of any
+    name pass through.
+    """
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     key, times = B.free(docs, "_id"), B.free(docs, "_n")
     got = group(docs.select("doc_id", "text"))

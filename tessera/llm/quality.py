@@ -211,7 +211,12 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Pipeline stage: keeps the rows of docs with a quality of `least` or more."""
+    """Pipeline stage: keeps the rows of docs with a quality of `least` or more.
+
+    Null, empty and blank texts have no line and score 0, so they go; a long text is scored whole. Repeated
+    rows stay or go together, a null id takes part. Without labels of both classes every text with a line
+    stays. An empty table stays empty. Columns of any name pass through.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     mark = B.free(docs, "_quality")
     return score(docs, model, out=mark).where(F.col(mark) >= least).select(*docs.columns)

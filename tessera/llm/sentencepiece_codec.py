@@ -350,5 +350,9 @@ def op7(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: doc_id and ids."""
+    """Pipeline stage, the last: doc_id, ids and their number of every row of docs.
+
+    Null and empty texts have no ids, rows without an id and repeated rows are encoded like any, texts are
+    encoded whole. An empty table gives an empty one.
+    """
     return encode(docs, model_path(), keep=["doc_id"]).withColumn("n_tokens", F.size("ids").cast("long"))

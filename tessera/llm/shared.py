@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of this machine, but only if all executors are on it, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where or "file:///tmp/checkpoints"
 
 
@@ -18,14 +20,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage: written to the shared folder, so that lost executors don't matter."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = scratch(df.sparkSession, name)

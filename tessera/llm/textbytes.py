@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,19 +180,49 @@ def annotate(
     scorer() is called once a task and gives f(bytes, offsets, column), which returns one array for
     each field. A new field replaces an input column of the same name.
     """
+
+    def grouped():
+        f = scorer()
+        return lambda parts: [f(*p) for p in parts]
+
+    return annotate_groups(df, text_col, fields, grouped, keep)
+
+
+def annotate_groups(
+    df: DataFrame,
+    text_col: str,
+    fields: list[T.StructField],
+    scorer: Callable[[], Callable[[list[tuple[np.ndarray, np.ndarray, pa.Array]]], list[list]]],
+    keep: list[str] | None = None,
+    group_bytes: int = 0,
+) -> DataFrame:
+    """The same for slices together: scorer() gives f(list of slices), called when they have `group_bytes` or more, with a result for each."""
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = scorer()
+        parts, rows, size = [], [], 0
+
+        def close() -> list[pa.RecordBatch]:
+            out = [pa.RecordBatch.from_arrays(cols + [x if isinstance(x, pa.Array) else pa.array(x) for x in got], names=kept + [f.name for f in fields]) for cols, got in zip(rows, f(parts))]
+            parts.clear()
+            rows.clear()
+            return out
+
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(text_col))
             data, offsets = column_bytes(col)
             for a, b in slices(offsets):
-                part = f(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], col.slice(a, b - a))
-                cols = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in kept]
-                yield pa.RecordBatch.from_arrays(cols + [x if isinstance(x, pa.Array) else pa.array(x) for x in part], names=kept + [f.name for f in fields])
+                parts.append((data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], col.slice(a, b - a)))
+                rows.append([batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in kept])
+                size += len(parts[-1][0])
+                if size >= group_bytes:
+                    yield from close()
+                    size = 0
+        if parts:
+            yield from close()
 
     return df.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
 
@@ -209,16 +239,17 @@ def fold(id_col: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def bounded_sample(df: DataFrame, id_col: str, label_col: str, per_label: int, seed: int) -> DataFrame:
-    """About `per_label` rows of each label, taken by a hash of the id: all rows of a label that has fewer.
+def bounded_sample(df: DataFrame, id_col: str, label_col: str, per_label: int, seed: int, most_labels: int = 512, most_rows: int = 24_000) -> DataFrame:
+    """About `per_label` rows of each label, or `most_rows` in all if that is less, taken by a hash of the id: all rows of a label that has fewer.
 
-    The counts are one partial aggregation over two narrow columns; the choice is a filter, not a shuffle.
+    The `most_labels` most frequent labels take part, so that neither the counts nor the sample grow with the
+    number of distinct labels. The counts are one partial aggregation over a narrow column; the choice is a
+    filter against those few rows, not a shuffle.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}
-    if not counts:
-        return df.limit(0)
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col(label_col) == F.lit(label), F.lit(min(1.0, per_label / n))).otherwise(share)
+    n = free(df, "_n")
+    labels = df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count(F.lit(1)).alias(n)).orderBy(F.desc(n), label_col).limit(most_labels)
+    every = F.count(F.lit(1)).over(Window.partitionBy())
+    own = F.least(F.lit(per_label), F.greatest(F.lit(1), F.floor(F.lit(most_rows) / every)))
+    shares = labels.select(label_col, F.least(F.lit(1.0), own / F.col(n)).alias(n))
     dice = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(F.col(label_col).isNotNull() & (dice < share))
+    return df.join(F.broadcast(shares), label_col).where(dice < F.col(n)).select(*df.columns)
