@@ -40,7 +40,7 @@ from .wordmemory import WordMemory, ragged
 
 MARK = "▁"
 #: Pairs of pieces that a worker remembers; beyond that it starts afresh. Results don't depend on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: States of prefixes that a worker remembers at the start of a batch of words.
 STATES = 300_000
 
@@ -100,10 +100,11 @@ class Codec:
             by_end.setdefault(p[-2:], set()).add(len(p))
         singles = {k for k in by_end if len(k) == 1}
         self.ends = {k: tuple(sorted(v | ({1} if k[-1] in singles else set()), reverse=True)) for k, v in by_end.items()}
-        self.memory = WordMemory()
+        self.memory = WordMemory(1 << 20, 1 << 22)
         self.steps: dict[tuple[str, str], bool] = {}
         self.states: dict[tuple[str, tuple[str, ...]], _State] = {}
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p))}
+        self.starts = {p[:n]: p[:n] for p in self.ids for n in range(1, len(p))}
+        self.coded_as: dict[str, list[int]] = {}
         self.bytes_of = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.bytes_size = np.array([len(x) for x in self.spelled], np.int64)
         self.bytes_start = np.cumsum(self.bytes_size) - self.bytes_size
@@ -202,10 +203,16 @@ class Codec:
                 piece = text[at:]
                 break
         cut = next((at for at in range(len(text)) if text[at:] in self.starts), len(text))
-        key = (text[cut:], (*state.recent, piece)[cut:])
+        tail = text[cut:]
+        key = (self.starts.get(tail, tail), (*state.recent, piece)[cut:])
         got = self.states.get(key)
         if got is None:
-            got = self.states[key] = _State(*key, self.coded(piece)[::-1])
+            ids = self.coded_as.get(piece)
+            if ids is None:
+                ids = self.coded(piece)[::-1]
+                if len(self.coded_as) < 2 * len(self.ids):
+                    self.coded_as[piece] = ids
+            got = self.states[key] = _State(*key, ids)
         state.to[c] = got
         return got
 

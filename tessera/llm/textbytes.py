@@ -6,6 +6,7 @@ working set follows `SLICE_BYTES` or the longest single text, whichever is large
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1024
 
+#: Bytes that are hashed at a time.
+HASH_BYTES = 1 << 18
+
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 
@@ -36,16 +40,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls up to a few slices' length."""
+    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     key = str(base)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, 2 * SLICE_BYTES + 1)
-        have = np.full(size, base, dtype=np.uint64)
+        have = np.full(n, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * SLICE_BYTES:
-            _powers[key] = have
+        _powers[key] = have
     return have[:n]
 
 
@@ -126,34 +128,31 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTES)
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; equal bytes have equal hashes, wherever they stand.
 
-    Spans are sorted by start. Long data is worked on in blocks of spans, so that the working set follows
-    SLICE_BYTES; a span beyond that length is named by XXH3.
+    Spans are sorted by start. They are worked on in blocks, so that the working set follows HASH_BYTES; a
+    span beyond that length is named by XXH3.
     """
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    far = ends - starts > SLICE_BYTES
-    if len(data) <= 2 * SLICE_BYTES and not far.any():
-        return _span_hashes(data, starts, ends)
     out, at = np.empty(len(starts), np.uint64), 0
+    far = ends - starts > HASH_BYTES
     for i in np.flatnonzero(far).tolist():
         out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
-    near = np.flatnonzero(~far)
-    begin = starts[near]
-    while at < len(near):
-        to = int(np.searchsorted(begin, begin[at] + SLICE_BYTES))
-        some = near[at:to]
-        out[some] = _span_hashes(data[begin[at] : ends[some].max()], starts[some] - begin[at], ends[some] - begin[at])
+    near = np.flatnonzero(~far) if far.any() else None
+    begin, end = (starts, ends) if near is None else (starts[near], ends[near])
+    while at < len(begin):
+        to = int(np.searchsorted(begin, begin[at] + HASH_BYTES))
+        got = _span_hashes(data[begin[at] : end[at:to].max()], begin[at:to] - begin[at], end[at:to] - begin[at])
+        out[slice(at, to) if near is None else near[at:to]] = got
         at = to
     return out
 
 
 def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = powers(_MULT, 2 * HASH_BYTES + 1), powers(_INV, 2 * HASH_BYTES + 1)
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
-    np.multiply(data, powers(_MULT, len(data)), out=total[1:], dtype=np.uint64, casting="unsafe")
-    total[1:] += powers(_MULT, len(data))  # a zero byte counts too
+    # a zero byte counts too
+    np.multiply(data.astype(np.uint64) + np.uint64(1), up[: len(data)], out=total[1:])
     np.cumsum(total, out=total)
-    return mix((total[ends] - total[starts]) * powers(_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -223,10 +222,18 @@ def annotate_groups(
                     size = 0
         if parts:
             yield from close()
+        give_back()
 
     return df.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns what this worker's allocators hold unused, as it stays for other tasks while others need the memory."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name in df.columns:

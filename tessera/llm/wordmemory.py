@@ -26,7 +26,7 @@ def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[start : start + size] of all pairs, one after the other."""
     if not len(size):
         return flat[:0]
-    upto = np.cumsum(size)
+    upto = np.cumsum(size, dtype=np.int64)
     at = np.arange(upto[-1])
     at += np.repeat(start - (upto - size), size)
     return flat[at]
@@ -77,15 +77,15 @@ class WordMemory:
 
     def clear(self) -> None:
         self.names, self.used = Numbers(self.most_words), 0
-        self.start = np.zeros(self.most_words, np.int64)
-        self.size = np.zeros(self.most_words, np.int64)
+        self.start = np.zeros(self.most_words, np.int32)
+        self.size = np.zeros(self.most_words, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
 
     def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         """Distinct names that aren't there yet, with their ids in a row."""
         total = len(ids)
         if self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(self.used, total) + total, np.int32)))
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used // 2 + total, np.int32)))
         self.flat[self.used : self.used + total] = ids
         number = self.names.add(h)
         self.size[number], self.start[number] = size, self.used + np.cumsum(size) - size

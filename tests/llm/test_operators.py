@@ -388,12 +388,12 @@ def test_word_names():
 
 
 def test_hashes_of_long_data():
-    """Spans in data beyond two slices have the hashes they have by themselves."""
+    """Spans in data of several blocks have the hashes they have by themselves."""
     rng = np.random.default_rng(3)
-    data = rng.integers(97, 123, 5 << 20).astype(np.uint8)
+    data = rng.integers(97, 123, 2 << 20).astype(np.uint8)
     starts = np.sort(rng.integers(0, len(data) - 50, 4000))
     ends = starts + rng.integers(0, 40, 4000)
-    ends[7] = starts[7] + textbytes.SLICE_BYTES + 9
+    ends[7] = starts[7] + textbytes.HASH_BYTES + 9
     got = textbytes.span_hashes(data, starts, ends)
     for i in (0, 7, 8, 1999, 3999):
         own = data[starts[i] : ends[i]]
