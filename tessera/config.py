@@ -16,6 +16,9 @@ class SearchConfig:
     weight_floor: float = 0.1
     max_per_file: int = 3
     rerank_alpha: float = 0.6
+    #: Candidates of a query that an outer reranker sees, and results of it that count.
+    rerank_most: int = 500
+    rerank_top: int = 20
     inject_rows: int = 3
     inject_dense_at: int = 5
     inject_sparse_at: int = 10
@@ -65,3 +68,18 @@ class EngineConfig:
     bm25: Bm25Config = Bm25Config()
     graph: GraphConfig = GraphConfig()
     ingest: IngestConfig = field(default_factory=IngestConfig)
+
+    @staticmethod
+    def read(path: str) -> EngineConfig:
+        """The settings of a file, section by section; defaults for what it doesn't say, and for all of it if there is no file."""
+        from tessera.sources.files import read_data
+
+        try:
+            data = read_data(path) or {}
+        except FileNotFoundError:
+            return EngineConfig()
+        kinds = {"search": SearchConfig, "bm25": Bm25Config, "graph": GraphConfig, "ingest": IngestConfig}
+        if unknown := set(data) - set(kinds):
+            raise ValueError(f"no section is named {sorted(unknown)}")
+        listed = lambda v: tuple(v) if isinstance(v, list) else v
+        return EngineConfig(**{k: kind(**{name: listed(v) for name, v in (data.get(k) or {}).items()}) for k, kind in kinds.items()})

@@ -100,6 +100,7 @@ def test_scan_save_load(spark, tmp_path):
     assert files.load(spark, where, "chunks").count() == 1
     (tmp_path / "cases.json").write_text(json.dumps({"test_cases": [{"id": "1", "query": "q", "expected_files": [{"repo_name": "r", "file_path": "p"}]}]}))
     case = files.load_cases(spark, f"{tmp_path}/cases.json").first()
+    assert files.load_cases(spark, f"{tmp_path}/cases.json", most=5).count() == 1
     assert case.query_type == "semantic_match" and case.difficulty == "normal" and case.expected_files[0].relevance == 1
     with pytest.raises(FileNotFoundError):
         files.load_cases(spark, f"{tmp_path}/none.json")
@@ -107,6 +108,49 @@ def test_scan_save_load(spark, tmp_path):
     assert sorted(json.loads(r.value)["repo_name"] for r in spark.read.text(f"{tmp_path}/report").collect()) == ["one", "one", "two"]
 
 
+def test_scan_of_unusual_names_and_bytes(spark, tmp_path):
+    """Bytes that are no UTF-8, names with signs that patterns know, and a folder that repeats its repository's name."""
+    for p, t in (("c++/src/a.lua", b"x \xff y"), ("src/src/a.lua", b"two"), ("a b%20/k[1].md", "# \u00e4".encode()), ("x.lua", b"no repository")):
+        (tmp_path / "tree" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / p).write_bytes(t)
+    for root in (f"{tmp_path}/tree", f"file://{tmp_path}/tree/"):
+        got = {(r.repo_name, r.file_path): r.content for r in files.scan(spark, root).collect()}
+        assert got == {("c++", "src/a.lua"): "x \ufffd y", ("src", "src/a.lua"): "two", ("a b%20", "k[1].md"): "# \u00e4"}
+    rows = spark.createDataFrame([("src", "src/a.lua"), ("c++", "data/repos/c++/a.lua"), ("src", "data/repos/c++/a.lua"), ("src", "data/repos/src/src/a.lua")], "r string, p string")
+    assert [r[0] for r in rows.select(files.normal_path(F.col("p"), F.col("r"))).collect()] == ["src/a.lua", "a.lua", "data/repos/c++/a.lua", "src/a.lua"]
+
+
+def test_ingest_with_each_repository_s_own_rules(spark, tmp_path):
+    body = "local function read(a)\n    return a + 1 -- more than thirty characters\nend\n"
+    tree = {"one/.gitignore": "# gone\n*.gen.lua\n/out/\n!keep.gen.lua\n", "one/a.lua": body, "one/b.gen.lua": body, "one/keep.gen.lua": body, "one/out/c.lua": body, "one/sub/out/d.lua": body, "two/b.gen.lua": body, "two/.git/HEAD": "x", "docs/guide.md": "# Guide\nmore than thirty characters of text", "two/tests/t.lua": body, "two/s.lua": "short"}
+    for p, t in tree.items():
+        (tmp_path / "tree" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / p).write_text(t)
+    got = files.ingest(spark, f"{tmp_path}/tree").select("repo_name", "file_path", "collection").collect()
+    assert sorted(map(tuple, got)) == [("docs", "guide.md", "docs"), ("one", "a.lua", "code"), ("one", "keep.gen.lua", "code"), ("one", "sub/out/d.lua", "code"), ("two", "b.gen.lua", "code")]
+    assert {r.repo_name for r in files.ingest(spark, f"{tmp_path}/tree", repos=["two", "none"]).collect()} == {"two"}
+    assert files.repositories(spark, f"{tmp_path}/tree") == ["two"] and files.repositories(spark, f"{tmp_path}/none") == []
+
+
+def test_settings_of_a_file(tmp_path):
+    from tessera.config import EngineConfig
+
+    assert EngineConfig.read(f"{tmp_path}/none.json") == EngineConfig()
+    (tmp_path / "c.json").write_text(json.dumps({"search": {"rrf_k": 10}, "ingest": {"exclude": ["x/"]}}))
+    got = EngineConfig.read(f"{tmp_path}/c.json")
+    assert got.search.rrf_k == 10 and got.search.max_top_k == 50 and got.ingest.exclude == ("x/",) and got.bm25 == EngineConfig().bm25
+    (tmp_path / "c.json").write_text('{"nothing": {}}')
+    with pytest.raises(ValueError, match="nothing"):
+        EngineConfig.read(f"{tmp_path}/c.json")
+
+
+def test_checksums_are_of_the_joined_contents(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(2, "r", "a", "two"), (1, "r", "a", "one"), (3, "r", "b", None)], "chunk_id int, repo_name string, file_path string, content string")
+    assert {r.file_key: r.md5 for r in incremental.file_checksums(rows).collect()} == {"r:a": hashlib.md5(b"one\ntwo").hexdigest(), "r:b": hashlib.md5(b"").hexdigest()}
+
+
 def test_spelling_and_processing(spark):
     assert query.closest("sensr", ["sensor", "bus"]) == "sensor" and query.closest("sensor", ["sensor"]) is None and query.closest("xy", ["xyz"]) is None
     q = spark.createDataFrame([(1, "sensr 阈值 json cmd"), (2, "plain words")], "query_id int, text string")
@@ -184,10 +228,14 @@ def test_stored_index(spark, tmp_path):
     queries = spark.createDataFrame([(1, ["cat"]), (2, ["dog", "dog", "bird"])], "query_id int, tokens array<string>")
     assert index.load_index(spark, f"{tmp_path}/i") is None
     index.build_index(old, f"{tmp_path}/i")
-    direct = sparse.ranked(sparse.scores(sparse.tokenized(old, F.col("content")), queries), 3, source="bm25")
+    direct = sparse.ranked(sparse.scores(sparse.tokenized(old, sparse.document_text(old)), queries), 3, source="bm25")
     key = lambda df: sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in df.collect())
     assert key(index.search_index(spark, f"{tmp_path}/i", queries, 3)) == key(direct)
     new = spark.createDataFrame([(1, "cat dog cat", "a", "r"), (5, "cat cat bird", "b", "r")], s)
     diff = index.update_index(spark, f"{tmp_path}/i", new, f"{tmp_path}/j")
     assert {r.file_key: r.state for r in diff.collect()} == {"r:a": "unchanged", "r:b": "changed", "r:c": "deleted", "r:d": "deleted"}
     assert {r.chunk_id for r in index.search_index(spark, f"{tmp_path}/j", queries, 3).where("query_id = 1").collect()} == {1, 5}
+    index.build_index(new, f"{tmp_path}/k")
+    for name in ("chunks", "postings", "doc_stats", "term_stats", "corpus_stats", "checksums"):
+        tables = [spark.read.parquet(f"{tmp_path}/{x}/{name}") for x in "jk"]
+        assert sorted(map(tuple, tables[0].collect())) == sorted(map(tuple, tables[1].select(*tables[0].columns).collect())), name
