@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Bm25Config
 from tessera.functions.text import tokens
+from tessera.sources.scratch import small, stored
 
 #: Query-term rows up to so many are broadcast; more are joined by a shuffle on the token.
 BROADCAST_TERMS = 500_000
@@ -38,11 +39,14 @@ def term_rows(docs: DataFrame) -> DataFrame:
 
     One pass and one shuffle of partial sums give both.
     """
-    rows = docs.select(F.explode(F.concat(
-        F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).cast("long").alias("dl"))),
-        F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("tokens").cast("long").alias("dl"))),
-    )).alias("r")).select("r.*")
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
+    rows = docs.select(F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("token"), F.size("tokens").alias("n"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("n"))).alias("dl"))
+
+
+def statistics(docs: DataFrame, config: Bm25Config = Bm25Config()) -> tuple[DataFrame, DataFrame]:
+    """Term rows and corpus statistics of tokenized chunks, worked out once: both are written, as each is read several times."""
+    terms = stored(term_rows(docs), "bm25-terms")
+    return terms, stored(corpus_stats(terms, config), "bm25-corpus")
 
 
 def _plain_idf(n: Column, df: Column) -> Column:
@@ -70,20 +74,20 @@ def saturation(tf: Column, dl: Column, avgdl: Column, k1: Column | float, b: Col
 def scores(docs: DataFrame, queries: DataFrame, config: Bm25Config = Bm25Config(), params: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of tokenized chunks for tokenized queries (query_id, tokens).
 
-    Only tokens that some query has leave the scan. They are dealt by chunk, where term counts, scores of a
-    chunk for a query, and any top-k that follows are formed without another shuffle of the matches. params
-    (k1, b) scores every combination in one job.
+    The chunks are tokenized twice: once for the statistics, which are written, and once for the matches. Only
+    tokens that some query has leave the scan. They are dealt by chunk, where term counts, scores of a chunk
+    for a query, and any top-k that follows are formed without another shuffle of the matches. params (k1, b)
+    scores every combination in one job.
     """
     asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = term_rows(docs)
-    stats = corpus_stats(terms, config)
-    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hint = F.broadcast if small else lambda x: x
-    vocabulary = term_stats(terms.join(hint(asked.select("token").distinct()), "token", "left_semi"), stats)
-    weighted = asked.join(vocabulary, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
-    found = docs.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(hint(asked.select("token").distinct()), "token", "left_semi")
-    tf = found.repartition("chunk_id").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    hits = tf.join(hint(weighted), "token").join(F.broadcast(stats.select("avgdl")))
+    terms, stats = statistics(docs, config)
+    hint = small(asked, BROADCAST_TERMS)
+    # tokens of the queries get numbers, so that matches are three numbers each
+    vocabulary = stored(term_stats(terms.join(hint(asked.select("token").distinct()), "token", "left_semi"), stats).withColumn("term", F.xxhash64("token")), "bm25-vocabulary")
+    weighted = asked.join(vocabulary, "token").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    found = docs.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(hint(vocabulary.select("token", "term")), "token").select("chunk_id", "dl", "term")
+    tf = found.repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    hits = tf.join(hint(weighted), "term").join(F.broadcast(stats.select("avgdl")))
     keys = ["chunk_id", "query_id"]
     k1, b = F.lit(config.k1), F.lit(config.b)
     if params is not None:
@@ -109,8 +113,7 @@ def indexed_scores(posted: DataFrame, terms: DataFrame, stats: DataFrame, querie
     if buckets:
         wanted = [r[0] for r in asked.select(bucket(F.col("token"), buckets)).distinct().collect()]
         posted = posted.where(F.col("bucket").isin(wanted))
-    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hint = F.broadcast if small else lambda x: x
+    hint = small(asked, BROADCAST_TERMS)
     weighted = hint(asked).join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
     hits = posted.join(hint(weighted), "token").join(F.broadcast(stats.select("avgdl")))
     gain = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), config.k1, config.b)
