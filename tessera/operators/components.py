@@ -19,6 +19,12 @@ def component_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
+def component_symbols(chunks: DataFrame) -> DataFrame:
+    """(component, name, kind, n): the symbols of each component as rows, as a component may have any number of them."""
+    rows = chunks.select(component_key().alias("component"), F.explode("symbols").alias("s"))
+    return rows.groupBy("component", F.col("s.name").alias("name"), F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def component_dependencies(chunks: DataFrame) -> DataFrame:
     """Per component: dependencies and interfaces of its last service chunk, and its models' and commands' names."""
     service = F.col("chunk_type") == "mds_service"
@@ -37,7 +43,7 @@ def lookup(collections: list[DataFrame], ids: DataFrame) -> DataFrame:
     """The chunks of the given ids; a chunk of an earlier collection hides one of the same id in a later."""
     rows = None
     for i, c in enumerate(collections):
-        own = c.join(F.broadcast(ids), "chunk_id", "left_semi").withColumn("_c", F.lit(i))
+        own = c.join(ids, "chunk_id", "left_semi").withColumn("_c", F.lit(i))
         rows = own if rows is None else rows.unionByName(own)
     w = Window.partitionBy("chunk_id").orderBy("_c")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_c")

@@ -92,7 +92,7 @@ def bootstrap(metrics: DataFrame, names: list[str], resamples: int = 1000, low:
     size = numbered.select(F.max("_n").alias("size"))
     draws = spark.range(resamples).withColumnRenamed("id", "i").join(F.broadcast(size)).where("size is not null").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))))
     dice = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string"))), 1, 12), 16, 10).cast("long")
-    means = draws.withColumn("_no", F.pmod(dice, F.col("size"))).join(F.broadcast(numbered), "_no").groupBy("i").agg(*(F.round(F.avg(F.col(m).cast("double")), 9).alias(m) for m in names))
+    means = draws.withColumn("_no", F.pmod(dice, F.col("size"))).join(numbered, "_no").groupBy("i").agg(*(F.round(F.avg(F.col(m).cast("double")), 9).alias(m) for m in names))
     long = means.select("i", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in names))).alias("r")).select("i", "r.*").where("x is not null")
     order = long.withColumn("_r", F.row_number().over(Window.partitionBy("metric").orderBy("x", "i")) - 1)
     return order.groupBy("metric").agg(F.max(F.when(F.col("_r") == low, F.col("x"))).alias("lower"), F.max(F.when(F.col("_r") == high, F.col("x"))).alias("upper"))

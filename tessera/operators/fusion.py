@@ -35,7 +35,7 @@ def rrf(dense: DataFrame, sparse: DataFrame, config: SearchConfig = SearchConfig
     s = last_position(sparse).withColumnRenamed("rank", "sparse_rank")
     both = d.join(s, ["query_id", "chunk_id"], "full_outer")
     if code is not None:
-        both = both.join(F.broadcast(code.select("query_id", "is_code")), "query_id", "left")
+        both = both.join(code.select("query_id", "is_code"), "query_id", "left")
     is_code = F.coalesce(F.col("is_code"), F.lit(False)) if code is not None else F.lit(False)
     wd, ws = weights(is_code, config)
     part = lambda w, r: F.coalesce(w / (F.lit(config.rrf_k) + F.col(r)), F.lit(0.0))
@@ -47,7 +47,7 @@ def rrf_docs(dense: DataFrame, sparse: DataFrame, k: int = 60) -> DataFrame:
     """The plain variant for documentation: no weights, and a list that lacks a chunk ranks it after its last."""
     n = lambda r, c: r.groupBy("query_id").agg((F.max("rank") + 1).alias(c))
     both = dense.select("query_id", "chunk_id", F.col("rank").alias("d")).join(sparse.select("query_id", "chunk_id", F.col("rank").alias("s")), ["query_id", "chunk_id"], "full_outer")
-    both = both.join(F.broadcast(n(dense, "nd")), "query_id", "left").join(F.broadcast(n(sparse, "ns")), "query_id", "left")
+    both = both.join(n(dense, "nd"), "query_id", "left").join(n(sparse, "ns"), "query_id", "left")
     at = lambda r, m: F.coalesce(r, m, F.lit(1))
     score = F.round(1 / (k + at(F.col("d"), F.col("nd"))) + 1 / (k + at(F.col("s"), F.col("ns"))), 9)
     return rerank(both.select("query_id", "chunk_id", score.alias("score")))
@@ -107,7 +107,7 @@ def overlap_scores(ranked: DataFrame, queries: DataFrame, content: str = "conten
     """Where no cross-encoder is at hand: 0.7 of the score plus 0.3 of the share of query words that the content holds."""
     words = F.filter(identifiers(F.col("text")), lambda t: F.char_length(t) > 1)
     q = queries.select("query_id", words.alias("_w"))
-    out = ranked.join(F.broadcast(q), "query_id")
+    out = ranked.join(q, "query_id")
     share = F.size(F.filter("_w", lambda t: F.contains(F.lower(F.col(content)), t))) / F.greatest(F.size("_w"), F.lit(1))
     out = out.withColumn("score", F.round(0.7 * F.col("score") + 0.3 * share, 9)).drop("_w", "rank")
     return rerank(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.config import GraphConfig
@@ -9,6 +10,8 @@ from tessera.operators import graph as G
 from tessera.plans import corpus as C
 from tessera.plans.maintenance import parsed
 from tessera.plans.registry import query
+from tessera.sources import files, parsers
+from tessera.sources.scratch import stored
 from tessera.streaming.upsert import windowed
 
 # A nation is a component, its customers and suppliers are files, parts are entities; orders and line items are edges.
@@ -115,6 +118,104 @@ def graph_cross_calls(spark, sf):
     return G.cross_calls(edges, nodes, seen)
 
 
+# ---------------------------------------------------------------- code made from the documents' ids
+#: Functions of each file.
+EACH = 7
+
+
+def code_files(spark, sf):
+    """A file for each document: Lua, C or a service description, by its id. Function i calls function i + 1, the last the first of the file."""
+    id_ = F.col("doc_id").cast("string")
+    docs = C.table(spark, sf, "documents").select("doc_id", F.col("source").alias("repo_name"))
+    parts = lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(EACH - 1)), x), "\n")
+    nth = lambda p, k: F.concat(F.lit(p), id_, F.lit("_"), k.cast("string"))
+    lua = parts(lambda k: F.concat(F.lit("local function "), nth("f_", k), F.lit("(a)\n    return "), nth("f_", F.pmod(k + 1, F.lit(EACH))), F.lit("(a)\nend\n")))
+    c = parts(lambda k: F.concat(F.lit("int "), nth("g_", k), F.lit("(int a) {\n    return "), nth("g_", F.pmod(k + 1, F.lit(EACH))), F.lit("(a);\n}\n")))
+    service = F.concat(F.lit('{"name": "s'), id_, F.lit('", "version": "1.0", "dependencies": [{"name": "dep'), (F.col("doc_id") % 5).cast("string"), F.lit('/[>=1.0]"}, "src1"], "required": [{"interface": "if.'), (F.col("doc_id") % 9).cast("string"), F.lit('"}]}'))
+    kind = F.col("doc_id") % 3
+    return docs.select(
+        "doc_id", "repo_name", F.when(kind == 0, F.concat(F.lit("lua/"), id_, F.lit(".lua"))).when(kind == 1, F.concat(F.lit("c/"), id_, F.lit(".c"))).otherwise(F.concat(F.lit("mds/"), id_, F.lit("/service.json"))).alias("file_path"),
+        F.when(kind == 0, lua).when(kind == 1, c).otherwise(service).alias("content"),
+    )
+
+
+def code_chunks(spark, sf):
+    """The files' chunks, kept as a table: the graph reads them many times."""
+    return stored(files.long_enough(parsers.parse(files.wanted(code_files(spark, sf)))), "code-chunks")
+
+
+_CODE_FILES = f"""d AS (SELECT doc_id, source AS repo_name, CASE doc_id % 3 WHEN 0 THEN 'lua/' || doc_id || '.lua' WHEN 1 THEN 'c/' || doc_id || '.c' ELSE 'mds/' || doc_id || '/service.json' END AS file_path, doc_id % 3 AS kind, CASE doc_id % 3 WHEN 0 THEN 'f_' ELSE 'g_' END || doc_id || '_' AS p FROM documents),
+fn AS (SELECT repo_name, file_path, kind, i, p || i AS name, p || (i + 1) % {EACH} AS callee, 4 * i + 1 AS a FROM d, range({EACH}) r(i) WHERE kind < 2)"""
+
+
+@query("parse_code", f"""WITH {_CODE_FILES} SELECT repo_name, file_path, 'function' AS chunk_type, CAST(a AS INT) AS start_line, CAST(a + 2 AS INT) AS end_line, [name] AS symbols, []::VARCHAR[] AS dependencies, []::VARCHAR[] AS required_interfaces,
+md5(CASE kind WHEN 0 THEN 'local function ' || name || '(a)' || chr(10) || '    return ' || callee || '(a)' || chr(10) || 'end' ELSE 'int ' || name || '(int a) {{' || chr(10) || '    return ' || callee || '(a);' || chr(10) || '}}' END) AS digest FROM fn
+UNION ALL SELECT repo_name, file_path, 'mds_service', 1, 1, ['dep' || doc_id % 5 || '/[>=1.0]', 'src1', 'if.' || doc_id % 9], ['dep' || doc_id % 5 || '/[>=1.0]', 'src1'], ['if.' || doc_id % 9],
+md5('{{"name": "s' || doc_id || '", "version": "1.0", "dependencies": [{{"name": "dep' || doc_id % 5 || '/[>=1.0]"}}, "src1"], "required": [{{"interface": "if.' || doc_id % 9 || '"}}]}}') FROM d WHERE kind = 2""")
+def parse_code(spark, sf):
+    """Functions of Lua and C files and service descriptions, one file for each document."""
+    out = code_chunks(spark, sf)
+    return out.select("repo_name", "file_path", "chunk_type", "start_line", "end_line", F.transform("symbols", lambda s: s["name"]).alias("symbols"), "dependencies", "required_interfaces", F.md5("content").alias("digest"))
+
+
+_CODE_EDGES = f"""{_CODE_FILES}, f AS (SELECT DISTINCT repo_name, file_path, kind, doc_id FROM d), e AS (SELECT *, repo_name || ':' || file_path || ':' AS pre FROM fn),
+ce AS (SELECT repo_name || ':' || file_path AS src, repo_name AS dst, 'BELONGS_TO' AS edge_type FROM f
+UNION SELECT repo_name || ':' || file_path, pre || name, 'CONTAINS' FROM e UNION SELECT repo_name, pre || name, 'DEFINES' FROM e UNION SELECT pre || name, pre || callee, 'CALLS' FROM e
+UNION SELECT repo_name, 'iface:if.' || doc_id % 9, 'REQUIRES_IFACE' FROM f WHERE kind = 2 UNION SELECT f.repo_name, 'src1', 'DEPENDS_ON' FROM f WHERE kind = 2 AND EXISTS (SELECT 1 FROM f WHERE repo_name = 'src1'))"""
+
+
+def code_graph(spark, sf):
+    """Chunks, nodes and edges of the files made from the documents."""
+    chunks = code_chunks(spark, sf)
+    modules = chunks.select(F.col("file_path").alias("module"), F.col("repo_name").alias("component")).distinct()
+    nodes = stored(G.nodes(chunks), "code-nodes")
+    return chunks, nodes, stored(G.sound(G.structure(chunks).unionByName(G.imports(chunks, modules)).unionByName(G.calls(chunks)), nodes), "code-edges")
+
+
+@query("graph_code", f"WITH {_CODE_EDGES} SELECT * FROM ce")
+def graph_code(spark, sf):
+    """The graph of those files: every function belongs to its file and component and calls the next, services require interfaces."""
+    return code_graph(spark, sf)[2]
+
+
+#: Queries over that graph: each asks for the repository of its first result and names a function.
+_WALK = f"""{_CODE_EDGES}, res AS (SELECT i AS query_id, 1 AS rank, repo_name, file_path FROM (SELECT row_number() OVER (ORDER BY doc_id) AS i, * FROM d WHERE kind = 0) WHERE i <= 20),
+txt AS (SELECT query_id, 'f_' || regexp_extract(file_path, '([0-9]+)', 1) || '_3' AS t FROM res),
+sd AS (SELECT query_id, repo_name AS node_id, 0.8::DOUBLE AS score FROM res UNION ALL SELECT query_id, repo_name || ':' || file_path || ':' || 'f_' || regexp_extract(file_path, '([0-9]+)', 1) || '_' || j, 0.5::DOUBLE FROM res, range(3) x(j)
+  UNION ALL SELECT query_id, pre || name, 0.3::DOUBLE FROM txt JOIN e ON e.name = t),
+seeds AS (SELECT query_id, node_id, round(max(score), 6) AS score FROM sd GROUP BY ALL)"""
+
+
+def walked(spark, sf):
+    """Results of twenty queries (the first Lua files), their texts, and the graph."""
+    chunks, nodes, edges = code_graph(spark, sf)
+    nth = F.row_number().over(Window.orderBy("doc_id"))
+    first = code_files(spark, sf).where("doc_id % 3 = 0").select("doc_id", "repo_name", "file_path").orderBy("doc_id").limit(20).withColumn("query_id", nth)
+    id_ = F.col("doc_id").cast("string")
+    name = lambda k: F.concat(F.lit("f_"), id_, F.lit(f"_{k}"))
+    results = stored(first.select("query_id", F.lit(1).alias("rank"), "repo_name", "file_path", F.array(*(name(k) for k in range(EACH))).alias("symbol_names"), name(3).alias("text")), "walk-results")
+    return results, chunks, nodes, edges
+
+
+@query("graph_seeds", f"WITH {_WALK} SELECT * FROM seeds")
+def graph_seeds(spark, sf):
+    """Seeds of results and query texts: components, the first three symbols of a result, entities that a query names."""
+    results, _, nodes, _ = walked(spark, sf)
+    return G.seeds(results.drop("text"), results.select("query_id", "text"), nodes)
+
+
+@query("graph_results", f"""WITH {_WALK}, own AS (SELECT query_id, node_id, score FROM seeds WHERE contains(node_id, ':')),
+hit AS (SELECT query_id, e.repo_name, e.file_path, e.i, max(score) AS score FROM own JOIN e ON own.node_id = e.pre || e.name GROUP BY ALL),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i) AS rank FROM hit)
+SELECT query_id, file_path, CAST(4 * i + 1 AS INT) AS start_line, score, 'graph' AS source FROM rnk""")
+def graph_results(spark, sf):
+    """Seeds as results: the chunks of the entities among them."""
+    results, chunks, nodes, _ = walked(spark, sf)
+    seen = G.seeds(results.drop("text"), results.select("query_id", "text"), nodes)
+    none = chunks.select(F.lit(0).alias("query_id"), "chunk_id").limit(0)
+    return G.to_results(seen, nodes, none).join(chunks.select("chunk_id", "file_path", "start_line"), "chunk_id").select("query_id", "file_path", "start_line", "score", "source")
+
+
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
     return windowed(C.table(spark, sf, "events"))

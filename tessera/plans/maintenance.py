@@ -11,11 +11,11 @@ from tessera.plans import corpus as C
 from tessera.plans.registry import query
 from tessera.sources import files, parsers
 
-SQL_SYMBOLS = f"""sym AS (SELECT *, list_transform(list_slice(list_filter({C.sql_tokens('content')}, lambda t: length(t) >= 8), 1, 3), lambda t: {{'name': t, 'kind': CASE WHEN length(t) % 2 = 0 THEN 'function' ELSE 'class' END}}) AS symbols FROM chunks)"""
+SQL_SYMBOLS = f"""sym AS (SELECT *, list_transform(list_filter({C.sql_tokens('content')}, lambda t: length(t) >= 8), lambda t: {{'name': t, 'kind': CASE WHEN length(t) % 2 = 0 THEN 'function' ELSE 'class' END}}) AS symbols FROM chunks)"""
 
 
 def with_symbols(spark, sf):
-    names = F.slice(F.filter(X.tokens(F.col("content")), lambda t: F.char_length(t) >= 8), 1, 3)
+    names = F.filter(X.tokens(F.col("content")), lambda t: F.char_length(t) >= 8)
     kind = lambda t: F.when(F.char_length(t) % 2 == 0, "function").otherwise("class")
     return C.chunks(spark, sf).withColumn("symbols", F.transform(names, lambda t: F.struct(t.alias("name"), kind(t).alias("kind"))))
 
@@ -26,6 +26,11 @@ def component_stats(spark, sf):
     return components.component_stats(with_symbols(spark, sf))
 
 
+@query("component_symbols", f"""WITH {C.SQL_CHUNKS}, {SQL_SYMBOLS} SELECT component, s.name AS name, s.kind AS kind, count(*) AS n FROM (SELECT coalesce(nullif(component_name, ''), repo_name) AS component, unnest(symbols) AS s FROM sym) GROUP BY ALL""")
+def component_symbols(spark, sf):
+    return components.component_symbols(with_symbols(spark, sf))
+
+
 @query("component_deps", """WITH c AS (SELECT doc_id, source, CASE WHEN n_chars < 1000 THEN 'mds_model' WHEN n_chars < 2000 THEN 'mds_ipmi_cmd' WHEN n_chars < 4000 THEN 'file' ELSE 'mds_service' END AS chunk_type, lang, 'n' || doc_id AS name FROM documents)
 SELECT source AS component, max_by([lang || '-lib', source || '-core'], doc_id) FILTER (chunk_type = 'mds_service') AS dependencies, max_by(['if.' || lang], doc_id) FILTER (chunk_type = 'mds_service') AS required_interfaces,
 coalesce(list_sort(list(name) FILTER (chunk_type = 'mds_model')), []) AS models, coalesce(list_sort(list(name) FILTER (chunk_type = 'mds_ipmi_cmd')), []) AS commands FROM c GROUP BY source""")
@@ -88,14 +93,15 @@ def split_by_lines(spark, sf):
 
 
 # ---------------------------------------------------------------- upkeep: the old state lacks French, has an extra file and changed Spanish texts
-_OLD = "SELECT source || ':' || source || '/' || lang || '.txt' AS file_key, list(md5(CASE WHEN lang = 'es' AND source < 'src3' THEN text || '!' ELSE text END) ORDER BY doc_id) AS l FROM documents WHERE lang <> 'fr' GROUP BY ALL UNION ALL SELECT 'gone:x.txt', ['a']"
-_NEW = "SELECT source || ':' || source || '/' || lang || '.txt' AS file_key, list(md5(text) ORDER BY doc_id) AS l FROM documents GROUP BY ALL"
-_DIFF = f"""old AS (SELECT file_key, md5(array_to_string(l, chr(10))) AS o FROM ({_OLD})), new AS (SELECT file_key, md5(array_to_string(l, chr(10))) AS n FROM ({_NEW})),
+_KEY = "source || ':' || source || '/' || lang || '/' || (doc_id // 512) || '.txt' AS file_key"
+_OLD = f"SELECT {_KEY}, md5(string_agg(CASE WHEN lang = 'es' AND source < 'src3' THEN text || '!' ELSE text END, chr(10) ORDER BY doc_id)) AS o FROM documents WHERE lang <> 'fr' GROUP BY ALL UNION ALL SELECT 'gone:x.txt', md5('a')"
+_NEW = f"SELECT {_KEY}, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS n FROM documents GROUP BY ALL"
+_DIFF = f"""old AS ({_OLD}), new AS ({_NEW}),
 diff AS (SELECT file_key, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'deleted' WHEN o <> n THEN 'changed' ELSE 'unchanged' END AS state FROM old FULL JOIN new USING (file_key))"""
 
 
 def states(spark, sf):
-    new = C.chunks(spark, sf).select("chunk_id", "repo_name", "file_path", "language", "content")
+    new = C.file_chunks(spark, sf).select("chunk_id", "repo_name", "file_path", "language", "content")
     changed = (F.col("language") == "es") & (F.col("repo_name") < "src3")
     old = new.where("language <> 'fr'").withColumn("content", F.when(changed, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     gone = spark.createDataFrame([("gone", "x.txt", "en", "a")], "repo_name string, file_path string, language string, content string").select(F.lit(-1).cast("long").alias("chunk_id"), "*")
@@ -104,7 +110,7 @@ def states(spark, sf):
 
 @query("file_checksums", f"WITH {_DIFF} SELECT file_key, n AS md5 FROM new")
 def file_checksums(spark, sf):
-    return incremental.file_checksums(C.chunks(spark, sf))
+    return incremental.file_checksums(C.file_chunks(spark, sf))
 
 
 @query("checksum_diff", f"WITH {_DIFF} SELECT file_key, state FROM diff WHERE file_key <> 'gone:x.txt' UNION ALL SELECT 'gone:x.txt', 'deleted'")
@@ -121,11 +127,19 @@ def incremental_upsert(spark, sf):
 
 
 # ---------------------------------------------------------------- conversations and judging
-@query("history_trim", """SELECT conv_id, turn, role, CASE WHEN role = 'tool' AND length(text) > 200 THEN substr(text, 1, 200) || '... [truncated]' ELSE text END AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4""")
+@query("history_trim", """SELECT conv_id, turn, role, CASE WHEN role = 'tool' AND length(text) > 2000 THEN substr(text, 1, 2000) || '... [truncated]' ELSE text END AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 40""")
 def history_trim(spark, sf):
-    """The last 4 messages, as the conversations at hand are short."""
-    return agent.trim_history(C.table(spark, sf, "conversations"), 4, 200)
+    """The last 40 messages, tool outputs cut at 2,000 characters."""
+    return agent.trim_history(C.table(spark, sf, "conversations"))
+
+
+@query("history_trim_short", """SELECT conv_id, turn, role, CASE WHEN role = 'tool' AND length(text) > 200 THEN substr(text, 1, 200) || '... [truncated]' ELSE text END AS text
+FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'tool' ELSE role END AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4""")
+def history_trim_short(spark, sf):
+    """With limits that the conversations at hand exceed, and the users' messages as tool outputs, so that both cuts occur."""
+    rows = C.table(spark, sf, "conversations")
+    return agent.trim_history(rows.withColumn("role", F.when(F.col("role") == "user", "tool").otherwise(F.col("role"))), 4, 200)
 
 
 @query("last_answer", "SELECT conv_id, max_by(text, turn) AS answer, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id")

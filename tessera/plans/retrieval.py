@@ -9,6 +9,7 @@ from tessera.operators import boost as boosts
 from tessera.operators import dense, evaluate, fusion, sparse
 from tessera.plans import corpus as C
 from tessera.plans.registry import query
+from tessera.sources.scratch import small
 
 # ---------------------------------------------------------------- tokens and statistics
 
@@ -63,11 +64,31 @@ def bm25_grid(spark, sf):
     return counted.join(F.broadcast(n)).select("k1", "b", F.coalesce("hits", F.lit(0)).alias("hits"), F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("file_at_5"))
 
 
+def holders(texts, items):
+    """(query_id, chunk_id): the texts (chunk_id, content) that hold an item's text (query_id, item) as a whole.
+
+    A text that holds an item holds the item's inner words as words. So each item is looked for by its longest
+    inner word, by a join, and only what has that word is compared. Items without an inner word are few and
+    short; they are held against every text in blocks of what may be broadcast.
+    """
+    words = F.split("item", r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    items = items.where("item is not null").withColumn("anchor", longest)
+    spoken = texts.select("chunk_id", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("anchor"))
+    met = spoken.join(items.select("query_id", "anchor").where("anchor is not null"), "anchor").select("query_id", "chunk_id")
+    found = texts.join(met, "chunk_id").join(items.select("query_id", "item"), "query_id").where(F.contains("content", F.col("item"))).select("query_id", "chunk_id")
+    short = items.where("anchor is null").select("query_id", "item")
+    if not short.limit(1).count():
+        return found
+    return found.unionByName(texts.join(small(short, 100_000)(short), F.contains("content", F.col("item"))).select("query_id", "chunk_id"))
+
+
 def planted(spark, sf):
-    """Which documents hold which benchmark text: the items are few and are held against each document where it is scanned."""
+    """Which documents hold which benchmark text."""
     items = C.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    docs = C.chunks(spark, sf)
-    return docs.join(F.broadcast(items), F.contains("content", F.col("item"))).select("query_id", "chunk_id", "repo_name", "file_path", "language")
+    ch = C.chunks(spark, sf)
+    return holders(ch.select("chunk_id", "content"), items).join(ch.select("chunk_id", "repo_name", "file_path", "language"), "chunk_id").select("query_id", "chunk_id", "repo_name", "file_path", "language")
 
 
 # ---------------------------------------------------------------- dense
@@ -84,9 +105,8 @@ def dense_filtered(spark, sf):
     return dense.nearest(v, q, 10, F.col("label").isin(1, 3, 5))
 
 
-# ---------------------------------------------------------------- fusion: vectors and texts share ids
-HYBRID = f"""{C.SQL_BM25}, {C.sql_ranked('scored', 30, 'sparse')}, {C.SQL_DENSE},
-dense0 AS (SELECT query_id // 20 AS query_id, chunk_id, score FROM dscored), {C.sql_ranked('dense0', 30, 'dense')}"""
+# ---------------------------------------------------------------- fusion: chunks are texts and vectors of one id
+HYBRID = f"""{C.SQL_BM25}, {C.sql_ranked('scored', 30, 'sparse')}, {C.SQL_ITEM_DENSE}, {C.sql_ranked('dense0', 30, 'dense')}"""
 _RRF = """fused AS (SELECT query_id, chunk_id, CAST(d.rank AS INT) AS dense_rank, CAST(s.rank AS INT) AS sparse_rank,
   round(coalesce({wd} / (60 + d.rank), 0.0::DOUBLE) + coalesce({ws} / (60 + s.rank), 0.0::DOUBLE), 9) AS score FROM dense d FULL JOIN sparse s USING (query_id, chunk_id){join})"""
 _FUSED = _RRF.format(wd="0.5::DOUBLE", ws="0.5::DOUBLE", join="")
@@ -95,11 +115,9 @@ RANKED_FUSED = f"{HYBRID}, {_FUSED}, ranked AS (SELECT *, {_FINAL} FROM fused)"
 
 
 def lists(spark, sf, k: int = 30):
-    """The dense and sparse list of each query; the vector 20 * i stands for query i."""
+    """The dense and sparse list of each item."""
     docs, asked = C.tokenized(spark, sf)
-    v, q = C.vectors(spark, sf)
-    d = dense.nearest(v, q.withColumn("query_id", F.expr("query_id div 20")), k)
-    return d, sparse.ranked(sparse.scores(docs, asked), k)
+    return dense.nearest(C.vectors(spark, sf)[0], C.item_vectors(spark, sf), k), sparse.ranked(sparse.scores(docs, asked), k)
 
 
 @query("rrf_fuse", f"WITH {RANKED_FUSED} SELECT query_id, chunk_id, dense_rank, sparse_rank, score, rank FROM ranked")
@@ -167,29 +185,35 @@ def inject_candidates(spark, sf):
 
 
 # ---------------------------------------------------------------- boosts
-_SYMBOLS = f"list_slice(list_filter({C.sql_tokens('content')}, lambda t: length(t) >= 8), 1, 3)"
-_DEP = "依赖|dependency|dependencies|接口定义|interface|组件.*关系|component.*dep|依赖关系|dep graph|service\\.json|component info|数据读取|数据访问|data.*read|数据流"
+_SYMBOLS = f"list_filter({C.sql_tokens('content')}, lambda t: length(t) >= 8)"
+_DEP = X.DEPENDENCY_QUERY.removeprefix("(?i)")
 
 
 def boosted(spark, sf):
-    ch = C.chunks(spark, sf).withColumn("symbol_names", F.slice(F.filter(X.tokens(F.col("content")), lambda t: F.char_length(t) >= 8), 1, 3)).withColumn("mds_class", F.get("symbol_names", F.lit(0))).drop("content")
+    names = F.filter(X.tokens(F.col("content")), lambda t: F.char_length(t) >= 8)
+    ch = C.chunks(spark, sf).withColumn("symbol_names", names).withColumn("mds_class", F.get("symbol_names", F.lit(0))).drop("content")
     q = C.queries(spark, sf).select("query_id", F.concat(F.col("text"), F.lit(" interface of src3 de.txt")).alias("query"))
     top = sparse.ranked(sparse.scores(*C.tokenized(spark, sf)), 30)
-    return boosts.boost(top.withColumn("score", F.round(F.col("score") / 1000, 9)).join(ch, "chunk_id").join(F.broadcast(q), "query_id"))
+    return boosts.boost(top.withColumn("score", F.round(F.col("score") / 1000, 9)).join(ch, "chunk_id").join(small(q, 100_000)(q), "query_id"))
 
 
-BOOST_SQL = rf"""WITH {C.SQL_CHUNKS}, {C.SQL_BM25}, {C.sql_ranked('scored', 30, 'top')},
-q AS (SELECT item_id AS query_id, lower(text || ' interface of src3 de.txt') AS q FROM benchmark), qt AS (SELECT *, list_distinct(regexp_extract_all(q, '[a-zA-Z_][\p{{L}}\p{{N}}_]*')) AS t FROM q),
-c AS (SELECT *, {_SYMBOLS} AS symbols, split_part(split_part(file_path, '/', -1), '.', 1) AS name, list_distinct(list_filter(regexp_split_to_array(file_path, '[/_.-]'), lambda p: p <> '')) AS parts FROM chunks),
-r AS (SELECT query_id, chunk_id, rank AS before, round(score / 1000, 9) AS score, q, t, symbols, repo_name, file_path, chunk_type, name, parts,
+def sql_boosted(top: str, q: str, score: str) -> str:
+    """CTEs up to s: top (query_id, chunk_id, before, score) with all boosts for the lower-cased queries q (query_id, q). Needs chunks."""
+    return rf"""bq AS (SELECT *, list_distinct(regexp_extract_all(q, '[a-zA-Z_][\p{{L}}\p{{N}}_]*')) AS t FROM {q} lq),
+c AS (SELECT *, {_SYMBOLS} AS symbols, split_part(split_part(file_path, '/', -1), '.', 1) AS name, list_distinct(list_filter(regexp_split_to_array(file_path, '[/_.-]'), lambda p: p <> '')) AS parts FROM chunks SEMI JOIN {top} lt USING (chunk_id)),
+r AS (SELECT query_id, chunk_id, before, {score} AS score, q, t, symbols, repo_name, file_path, chunk_type, name, parts,
   list_filter(symbols, lambda s: contains(q, s) OR len(list_filter(t, lambda x: length(x) >= 3 AND contains(s, x))) > 0) AS named,
-  len(list_filter(parts, lambda p: list_contains(t, p) OR contains(q, p))) AS hits FROM top JOIN c USING (chunk_id) JOIN qt USING (query_id)),
+  len(list_filter(parts, lambda p: list_contains(t, p) OR contains(q, p))) AS hits FROM {top} lt JOIN c USING (chunk_id) JOIN bq USING (query_id)),
 b AS (SELECT *, CASE WHEN len(named) = 0 THEN 0 WHEN trim(q) = named[1] THEN 0.025 ELSE 0.008 END::DOUBLE AS symbol_bonus,
   CASE WHEN contains(q, repo_name) THEN 0.006 WHEN len(list_filter(t, lambda x: length(x) >= 3 AND contains(repo_name, x))) > 0 THEN 0.006::DOUBLE * 0.8::DOUBLE ELSE 0 END::DOUBLE AS repo_bonus,
   CASE WHEN contains(q, file_path) THEN 0.006 WHEN list_contains(t, name) AND (contains(name, '_') OR length(name) >= 8) THEN 0.02 WHEN hits >= 2 THEN 0.006 WHEN hits = 1 THEN 0.006::DOUBLE * 0.8::DOUBLE ELSE 0 END::DOUBLE AS path_bonus,
   CASE WHEN coalesce(symbols[1], '') <> '' AND contains(q, symbols[1]) THEN 0.012 ELSE 0 END::DOUBLE AS model_bonus,
   CASE WHEN chunk_type = 'mds_service' AND regexp_matches(q, '{_DEP}', 'i') THEN 0.010 ELSE 0 END::DOUBLE AS service_bonus FROM r),
-s AS (SELECT query_id, chunk_id, symbol_bonus, repo_bonus, path_bonus, model_bonus, service_bonus, before, round(score + symbol_bonus + repo_bonus + path_bonus + model_bonus + service_bonus, 9) AS score FROM b)
+s AS (SELECT query_id, chunk_id, symbol_bonus, repo_bonus, path_bonus, model_bonus, service_bonus, before, round(score + symbol_bonus + repo_bonus + path_bonus + model_bonus + service_bonus, 9) AS score FROM b)"""
+
+
+BOOST_SQL = f"""WITH {C.SQL_CHUNKS}, {C.SQL_BM25}, {C.sql_ranked('scored', 30, 'top')},
+{sql_boosted('(SELECT query_id, chunk_id, rank AS before, score FROM top)', "(SELECT item_id AS query_id, lower(text || ' interface of src3 de.txt') AS q FROM benchmark)", 'round(score / 1000, 9)')}
 SELECT query_id, chunk_id, symbol_bonus, repo_bonus, path_bonus, model_bonus, service_bonus, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS INT) AS rank FROM s"""
 
 

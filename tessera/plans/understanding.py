@@ -27,7 +27,7 @@ def _case(table: dict[str, list[str]]) -> str:
     return "coalesce(" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in reversed(list(table.items()))) + ")"
 
 
-_DEP = r"(?i)依赖|dependency|dependencies|接口定义|interface|组件.*关系|component.*dep|依赖关系|dep graph|service\.json|component info|数据读取|数据访问|data.*read|数据流"
+_DEP = X.DEPENDENCY_QUERY
 
 
 @query("query_flags", rf"""WITH {SQL_Q} SELECT query_id, regexp_matches(text, '[{{}}()\[\];=<>!&|+\-*/\\]|::|\.\w+\(|\bfunction\b|\bclass\b|\blocal\b|\breturn\b|\bimport\b|\brequire\b') AS is_code,

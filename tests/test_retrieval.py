@@ -217,3 +217,113 @@ def test_bm25_grid_is_the_whole_grid(spark, tmp_path):
     got = {(r.k1, r.b): r.hits for r in retrieval.bm25_grid(spark, str(tmp_path)).collect()}
     want = {(k1, b) for k1 in (0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.5, 3.0) for b in (0.0, 0.15, 0.3, 0.5, 0.6, 0.75, 0.9, 1.0)}
     assert set(got) == want and set(got.values()) == {2}
+
+
+def small_engine(spark, **more):
+    """Six chunks in two repositories and collections, with two-dimensional vectors."""
+    rows = [(i, f"text {'sensor ' * (i + 1)}number {i}", ("one", "two")[i % 2], f"dir/f{i // 2}.lua", ("lua", "c")[i // 3], "function", i * 10, ("code", "docs")[i % 2], [f"sym{i}"], None) for i in range(6)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, repo_name string, file_path string, language string, chunk_type string, start_line int, collection string, symbol_names array<string>, mds_class string")
+    tokens = sparse.tokenized(chunks, sparse.document_text(chunks))
+    vectors = spark.createDataFrame([(i, [1.0, i / 3]) for i in range(6)], "chunk_id long, embedding array<double>")
+    return search.Engine(chunks, tokens, vectors, **more)
+
+
+def ask(spark, *texts):
+    return spark.createDataFrame([(i, t, [1.0, 0.0]) for i, t in enumerate(texts)], "query_id long, text string, embedding array<double>")
+
+
+def test_given_filters_override_the_words(spark):
+    e = small_engine(spark)
+    ids = lambda df: sorted(r.chunk_id for r in df.collect())
+    assert ids(e.search(ask(spark, "sensor number in lua"), 10, "reranked")) == [0, 1, 2]
+    assert ids(e.search(ask(spark, "sensor number in lua"), 10, "reranked", language="c")) == [3, 4, 5]
+    assert ids(e.search(ask(spark, "sensor number"), 10, "reranked", repo="two", language="c")) == [3, 5]
+    assert ids(e.search(ask(spark, "sensor number"), 10, "reranked", chunk_type="class")) == []
+    own = ask(spark, "sensor number", "sensor number").withColumn("repo_name", F.when(F.col("query_id") == 0, "one"))
+    got = e.search(own, 10, "hybrid").collect()
+    assert sorted(r.chunk_id for r in got if r.query_id == 0) == [0, 2, 4] and len([r for r in got if r.query_id == 1]) == 6
+
+
+def test_models_and_their_fallbacks(spark):
+    """A cross-encoder that leaves out a query's candidate doesn't count for that query; an outer reranker's first results do."""
+    def model(rows, asked):
+        return rows.where("not (query_id = 1 and chunk_id = 0)").select("query_id", "chunk_id", (F.col("chunk_id") * 1.0).alias("score"))
+
+    e = small_engine(spark, cross=model)
+    got = e.search(ask(spark, "sensor number", "sensor text"), 6, "cross_encoder").collect()
+    assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [5, 4, 3, 2, 1, 0]
+    assert {r.query_id: r.source for r in got} == {0: "cross_encoder", 1: "cross_encoder_fallback"}
+    seen = []
+    def outer(rows, asked):
+        seen.append(rows.agg(F.max("rank")).first()[0])
+        return rows.where("query_id = 0").select("query_id", "chunk_id", (F.col("chunk_id") * 1.0).alias("score"))
+
+    from dataclasses import replace
+
+    config = SearchConfig(rerank_alpha=0.0, rerank_most=4, rerank_top=2)
+    plain = small_engine(spark).search(ask(spark, "sensor number", "sensor text"), 6, "reranked").collect()
+    got = replace(small_engine(spark), rerank=outer, config=config).search(ask(spark, "sensor number", "sensor text"), 6, "full").collect()
+    assert seen == [4]
+    assert [r.score for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0][:3] == [1.0, 0.0, 0.0]
+    of = lambda rows, q: [(r.chunk_id, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q]
+    assert of(got, 1) == of(plain, 1)
+
+
+def test_rewrites_that_say_nothing_new_are_not_searched(spark):
+    e = small_engine(spark, config=SearchConfig(bm25_weight=0.0))
+    plain = sorted(map(tuple, e.search(ask(spark, "sensor"), 1, "hybrid").collect()))
+    for text, same in (("SENSOR", True), ("ab", True), ("probe", False)):
+        rewrite = lambda asked, t=text: asked.select("query_id", F.lit(t).alias("text"), F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
+        got = sorted(map(tuple, small_engine(spark, rewrite=rewrite, config=SearchConfig(inject_sparse_at=0, bm25_weight=0.0)).search(ask(spark, "sensor"), 1, "hybrid").collect()))
+        assert (got == plain) == same, text
+
+
+def test_docs_references_and_many_queries(spark):
+    e = small_engine(spark)
+    docs = e.docs(ask(spark, "sensor"), 50).collect()
+    assert {r.chunk_id for r in docs} == {1, 3, 5} and {r.source for r in docs} == {"docs"}
+    assert e.references(ask(spark, "sensor")).count() == 6
+    many = spark.createDataFrame([(i, "sensor number", [1.0, 0.0], 7) for i in range(8)], "query_id long, text string, embedding array<double>, group_id int")
+    merged = e.multi(many, 10).collect()
+    assert {r.query_id for r in merged} == {0} and len(merged) == 6  # of equal results the first query's count; six lines of files
+
+
+def test_what_a_chunk_is_indexed_by(spark):
+    schema = "chunk_id int, content string, file_path string, repo_name string, symbols array<struct<name:string>>, chunk_type string, dependencies array<string>, required_interfaces array<string>, service_name string"
+    rows = [(1, "body", "src/pump.lua", "fan", [("spin",)], "mds_service", ["bus"], ["if.Speed"], "cooler"), (2, None, None, "fan", [], "file", ["bus"], [], "no")]
+    got = {r.chunk_id: r.t for r in spark.createDataFrame(rows, schema).select("chunk_id", sparse.document_text(spark.createDataFrame(rows, schema)).alias("t")).collect()}
+    assert got == {1: "body src/pump.lua fan fan spin bus if.Speed cooler", 2: "  fan fan "}
+
+
+def test_nearest_by_plain_formula(spark):
+    """Blocks of queries, filters by columns, null and odd-sized vectors, and ties, against the formula."""
+    import random
+
+    rng = random.Random(2)
+    vectors = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)], "ab"[i % 2]) for i in range(60)] + [(60, None, "a"), (61, [], "b"), (62, [1.0], "a"), (63, [0.0] * 3, "a")]
+    queries = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)], [None, "a", "z"][i % 3]) for i in range(9)]
+    v = spark.createDataFrame(vectors, "chunk_id int, embedding array<double>, kind string")
+    q = spark.createDataFrame(queries, "query_id int, embedding array<double>, filter_kind string")
+
+    def cosine(a, b):
+        a = a if a and len(a) == 3 else [0.0] * 3
+        return round(sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) + 1e-9), 6) + 0.0
+
+    want = {}
+    for i, b, f in queries:
+        rows = sorted((-cosine(a, b), c) for c, a, kind in vectors if f in (None, kind))
+        want |= {(i, c): (n + 1, -s + 0.0) for n, (s, c) in enumerate(rows[:7])}
+    for block in (16_384, 4):
+        dense.BLOCK, old = block, dense.BLOCK
+        got = {(r.query_id, r.chunk_id): (r["rank"], r.score + 0.0) for r in dense.nearest(v, q, 7, match=("kind",)).collect()}
+        dense.BLOCK = old
+        assert got == want
+
+
+def test_holders_by_plain_search(spark):
+    texts = ["one two three four", "xone two threex", "two", "a  b\tc", None, "", "one two three"]
+    items = ["one two three", "two", "b\tc", "e two t", None, "", "two three four", "missing word here"]
+    t = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string")
+    i = spark.createDataFrame(list(enumerate(items)), "query_id int, item string")
+    want = {(b, a) for a, x in enumerate(texts) for b, y in enumerate(items) if x is not None and y is not None and y in x}
+    assert {tuple(r) for r in retrieval.holders(t, i).collect()} == want
