@@ -33,17 +33,21 @@ TYPE_WORDS = {
 }
 
 # Terms that misspelt words are held against.
-DOMAIN_TERMS = (
-    "sensor sensors threshold config monitoring management alert event logging function init initialize startup power control ipmi ipmb protocol command fru frudata fructrl devmon device vpd bios pcie mdb "
-    "bus i2c libipmi sel reading service model application handler callback register subscribe publish interface dependency dependencies component object instance discrete metric voltage temperature firmware "
-    "upgrade capacitor circuit payload restore timeout flag chassis state machine executor format policy wrapper channel driver adapter message filter manager root discovery"
-).split()
+DOMAIN_TERMS = [
+    "sensor", "sensors", "threshold", "config", "monitoring", "management", "alert", "event", "logging", "function", "init", "initialize", "startup",
+    "power", "control", "ipmi", "ipmb", "protocol", "command", "fru", "frudata", "fructrl", "devmon", "device", "vpd", "bios", "pcie", "mdb", "bus",
+    "i2c", "libipmi", "sel", "reading", "service", "model", "application", "handler", "callback", "register", "subscribe", "publish", "interface",
+    "dependency", "dependencies", "component", "object", "instance", "discrete", "metric", "voltage", "temperature", "firmware", "upgrade",
+    "capacitor", "circuit", "payload", "restore", "timeout", "flag", "chassis", "state", "machine", "executor", "format", "policy", "wrapper",
+    "channel", "driver", "adapter", "message", "filter", "manager", "root", "discovery",
+]
 
 # Words that are no keywords.
-STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 "
-    "the a an is are was were be been how what where when which who why do does did can could should would"
-).split()
+STOP_WORDS = [
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这",
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "how", "what", "where", "when", "which", "who", "why", "do", "does", "did", "can",
+    "could", "should", "would",
+]
 
 
 def pairs(spark: SparkSession, table: dict[str, str], key: str, value: str) -> DataFrame:

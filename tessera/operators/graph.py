@@ -18,7 +18,10 @@ LUA_REQUIRE = r"""require\s*\(?\s*["']([^"']+)["']\s*\)?"""
 C_INCLUDE = r'#include\s*"([^"]+)"'
 LUA_CALL = r"(?:\w+\s*:\s*)?(\w+)\s*\("
 C_CALL = r"(\w+)\s*\("
-NO_CALLS = "if else while for switch case return sizeof typeof typedef struct enum union class do break continue goto default NULL".split()
+NO_CALLS = [
+    "if", "else", "while", "for", "switch", "case", "return", "sizeof", "typeof", "typedef", "struct", "enum", "union", "class", "do", "break",
+    "continue", "goto", "default", "NULL",
+]
 WALKED = ("CALLS", "DEPENDS_ON", "IMPORTS", "REQUIRES_IFACE", "PROVIDES_IFACE")
 
 

@@ -64,7 +64,7 @@ def corrections(queries: DataFrame, text: str = "text", terms: list[str] | None
     return rows.join(known, "token").where(~F.contains("_q", F.col("correction"))).select("query_id", "token", "correction")
 
 
-def expand(queries: DataFrame, text: str = "text", spelling: bool = True) -> DataFrame:
+def expand(queries: DataFrame, text: str = "text", spelling: bool = True, known: list[str] | None = None) -> DataFrame:
     """expansion (sorted distinct terms) and expanded (the query followed by them)."""
     q = F.col(text)
     low = F.lower(q)
@@ -78,15 +78,15 @@ def expand(queries: DataFrame, text: str = "text", spelling: bool = True) -> Dat
         terms.append(F.when(F.contains(low, F.lit(en)) & ~F.contains(q, F.lit(zh)), F.lit(zh)))
     out = queries.withColumn("_words", X.words(q)).withColumn("expansion", F.array_compact(F.array(*terms))).drop("_words")
     if spelling:
-        fixed = corrections(queries, text).groupBy("query_id").agg(F.collect_set("correction").alias("_fixed"))
+        fixed = corrections(queries, text, known).groupBy("query_id").agg(F.collect_set("correction").alias("_fixed"))
         out = out.join(fixed, "query_id", "left").withColumn("expansion", F.concat("expansion", F.coalesce("_fixed", F.array().cast("array<string>")))).drop("_fixed")
     out = out.withColumn("expansion", F.array_sort(F.array_distinct("expansion")))
     return out.withColumn("expanded", F.when(F.size("expansion") > 0, F.concat(q, F.lit(" "), F.array_join("expansion", " "))).otherwise(q))
 
 
-def process(queries: DataFrame, text: str = "text", spelling: bool = True) -> DataFrame:
-    """All of the above, and the cleaned text that vectors are made of."""
-    out = expand(keywords(filters(flags(queries, text), text), text), text, spelling)
+def process(queries: DataFrame, text: str = "text", spelling: bool = True, known: list[str] | None = None) -> DataFrame:
+    """All of the above, and the cleaned text that vectors are made of. known: the terms that spelling is held against."""
+    out = expand(keywords(filters(flags(queries, text), text), text), text, spelling, known)
     return out.withColumn("cleaned", X.clean_query(F.col(text)))
 
 

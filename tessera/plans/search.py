@@ -49,7 +49,9 @@ class Engine:
     rewrite: Callable[[DataFrame], DataFrame] | None = None
     #: Whether words of a query that name a language or kind of chunk filter its results.
     infer_filters: bool = True
+    #: Whether misspelt words are held against known terms, and which, if not those of the lexicon.
     spelling: bool = True
+    known_terms: tuple[str, ...] | None = None
 
     def processed(self, queries: DataFrame) -> tuple[DataFrame, set[str]]:
         """The queries with all that is known of them, worked out once, and which of the optional steps any of them needs.
@@ -59,7 +61,7 @@ class Engine:
         """
         own = {c: c in queries.columns for c in (*FILTERS, "is_code")}
         given = queries.select(*[c for c in queries.columns if not own.get(c)], *(F.col(c).alias(f"_{c}") for c, x in own.items() if x))
-        asked = query.process(given, spelling=self.spelling)
+        asked = query.process(given, spelling=self.spelling, known=None if self.known_terms is None else list(self.known_terms))
         none = F.lit(None).cast("string")
         said = lambda c: F.col(f"_{c}") if own[c] else none
         inferred = {c: F.col(f"filter_{c}") if self.infer_filters and c != "repo_name" else none for c in FILTERS}
