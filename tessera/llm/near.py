@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as B
-from .components import components
+from .components import components, join_hot
 from .shared import stored
 from .simhash import NO_ID, BKTree
 
@@ -240,8 +240,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     root = components(links(docs, distinct, id_col, text_col))
     own = distinct.select("set_id", "rep").join(root.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left")
     own = stored(own.select("set_id", "rep", F.coalesce("root", "set_id").alias("root")), "near-roots")
-    named = own.join(own.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("set_id", "component_id")
-    out = sig.select(id_col, "set_id").join(named, "set_id").withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")))
+    named = join_hot(own, own.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("set_id", "component_id")
+    out = join_hot(sig.select(id_col, "set_id"), named, "set_id").withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")))
     return out.select(id_col, "set_id", "component_id")
 
 

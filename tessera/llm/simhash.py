@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as B
-from .components import components
+from .components import components, join_hot
 from .shared import stored
 
 RADIUS = 4
@@ -145,19 +145,42 @@ def shard_keys(n: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest, for each shard, of the links between the distinct fingerprints in fps."""
+    """(a, b): links between the distinct fingerprints in fps that connect all that are within RADIUS of each other."""
     n = fps.count()
     blocks, choices = shard_keys(n)
     part = lambda i: F.shiftrightunsigned("fp", blocks[i][0]).bitwiseAND(F.lit((1 << blocks[i][1]) - 1))
     keys = F.array(*(F.xxhash64(F.lit(k), *(part(i) for i in c)) for k, c in enumerate(choices)))
     members = fps.select("fp", F.explode(keys).alias("shard"))
     sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    hot = stored(sizes.where(F.col("n") > HOT), "hot-shards")
-    if hot.limit(1).count():
-        chunks = F.ceil(F.col("n") / HOT).cast("int")
-        own = F.pmod(F.xxhash64("fp", F.lit(1)), chunks)
-        pair = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64(F.col("shard"), F.least(own, j), F.greatest(own, j)))
-        members = members.join(hot, "shard", "left").select("fp", F.explode(F.when(F.col("n").isNull(), F.array("shard")).otherwise(pair)).alias("shard"))
+    hot = stored(sizes.where(F.col("n") > HOT).withColumn("chunks", F.ceil(F.col("n") / HOT).cast("int")), "hot-shards")
+    if not hot.limit(1).count():
+        return forests(members)
+    # one in HOT of the members is a hot shard at most
+    few = members.join(small_or_shuffled(hot.select("shard")), "shard", "left_anti")
+    many = stored(members.join(small_or_shuffled(hot), "shard"), "hot-members")
+    chunk = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
+    name = lambda i, j: F.xxhash64("shard", F.least(i, j), F.greatest(i, j))
+    first = many.select("fp", F.explode(F.when(chunk == 0, F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: name(F.lit(0), j))).otherwise(F.array(name(F.lit(0), chunk)))).alias("shard"))
+    found = stored(forests(few.unionByName(first)), "simhash-links")
+    root = components(found).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    placed = stored(many.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "hot-placed")
+    largest = placed.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("shard").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    rest = stored(placed.join(small_or_shuffled(largest), "shard").where(F.col("root") != F.col("main")).select("shard", "fp", "chunks"), "hot-rest")
+    ones = rest.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("ones"))
+    left = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("ones")).cast("int")
+    pair = lambda i, j: F.xxhash64("shard", F.lit("rest"), i, j)
+    mine = rest.join(small_or_shuffled(ones), "shard").select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: pair(left, j))).alias("shard"))
+    theirs = many.join(small_or_shuffled(ones), "shard").select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("ones") - 1), lambda i: pair(i, chunk))).alias("shard"))
+    return found.unionByName(forests(mine.unionByName(theirs).distinct()))
+
+
+def small_or_shuffled(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has up to so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def forests(members: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links of each shard of members (fp, shard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, np.zeros(0, np.int64)
@@ -198,8 +221,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = stored(rep.join(root.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     # only fingerprints with links can belong to another's component
     least = own.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = own.join(least, "root").select("fp", "component_id")
-    out = sig.join(named, "fp").withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")))
+    named = join_hot(own, least, "root").select("fp", "component_id")
+    out = join_hot(sig, named, "fp").withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")))
     return out.select(id_col, "fp", "component_id")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tessera.llm import decontaminate, language_id, quality, queries, sentencepiece_codec, sharding, simhash, sketch, textbytes, token_files, toxicity, warc, wordmemory
+from tessera.llm import components, decontaminate, language_id, quality, queries, sentencepiece_codec, sharding, simhash, sketch, textbytes, token_files, toxicity, warc, wordmemory
 
 
 def lower(t):
@@ -270,6 +270,41 @@ def test_op4_forest_and_hot_shards(spark, monkeypatch):
     assert linked(edges) == linked(brute)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op4_hot_shards_of_several_groups(spark, monkeypatch, seed):
+    """Groups that share shards, hang together by chains or not at all, and members outside the largest group, against brute force."""
+    rng = np.random.default_rng(seed)
+    flip = lambda x, bits: x ^ sum(1 << int(b) for b in rng.choice(24, bits, replace=False))
+    base = int(rng.integers(1 << 62)) & ~0xFFFFFF
+    fps, centers = set(), [base, base | 0x7F, base | 0xFFF000]
+    for c in centers:
+        chain = c
+        for _ in range(25):
+            chain = flip(chain, int(rng.integers(1, 6)))
+            fps |= {chain, flip(chain, 2), flip(c, int(rng.integers(2, 9)))}
+    fps = sorted(fps)
+    brute = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4]
+    want = {frozenset(c) for c in _groups(fps, brute)}
+    assert len(want) > 1
+    for hot in (8, 40, 4096):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+        edges = [(int(np.int64(r.a).view(np.uint64)), int(np.int64(r.b).view(np.uint64))) for r in simhash.links(df).collect()]
+        assert {frozenset(c) for c in _groups(fps, edges)} == want
+
+
+def test_joins_on_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 0)
+    monkeypatch.setattr(components, "HOT_SHARE", 10)
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, -1)], "k int, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 300, 2)] + [(1, "one")], "k int, w string")
+    want = Counter(map(tuple, left.join(right, "k").collect()))
+    assert Counter(map(tuple, components.join_hot(left, right, "k").collect())) == want
+    chain = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 60)]
+    got = {r.a: r.b for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 31)} | {100 + i: 100 for i in range(1, 60)}
+
+
 def _groups(nodes, edges):
     root = {n: n for n in nodes}
 
