@@ -12,7 +12,7 @@ has a block for each 32 KiB, so a token, a count or a place needs a few blocks o
 Files are written under new names and become part of the table only by a row of the manifest, so a task
 that is tried again leaves no half-written or doubled shard behind.
 
-Edge cases: null and empty texts give only the end id. Rows with equal ids keep a defined order (by text).
+Edge cases: null and empty texts give only the end id. Rows with equal ids keep a defined order (by a hash of the text).
 A null id sorts first. A text longer than a shard stands alone in one. An empty table gives an empty table.
 """
 
@@ -391,7 +391,10 @@ def write(docs: DataFrame, where: str, path: str, id_col: str = "doc_id", text_c
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    rows = rows.repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    # texts of one id may be any number: they are parted by a hash of the text
+    tie = B.free(rows, "_tie")
+    rows = rows.withColumn(tie, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    rows = rows.repartitionByRange(id_col, tie).sortWithinPartitions(id_col, tie, text_col).select(id_col, text_col)
     return rows.mapInArrow(run, "part long, number long, path string, docs long, tokens long, before long")
 
 

@@ -157,7 +157,20 @@ class BundleReader:
         """Headers and blocks of the records of one id; unpacks only their frames."""
         return [parse(self.frame(k), at)[:2] for k, at, _ in self.index.get(name, [])]
 
+    def located(self, names: set[str] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+        """All records, or those of some ids, by the index: each from its place in its frame, each frame unpacked once."""
+        where = sorted((*w, name) for name, ws in self.index.items() if names is None or name in names for w in ws)
+        held, raw = None, b""
+        for k, at, size, name in where:
+            if k != held:
+                held, raw = k, self.frame(k)
+            head, block, end = parse(raw, at)
+            if head["warc-record-id"] != name or end != at + size:
+                raise ValueError(f"the index is wrong about {name}")
+            yield head, block
+
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
+        """All records as they stand, without the index."""
         for k in range(len(self.places) - 1):
             raw, at = self.frame(k), 0
             while at < len(raw):
@@ -209,8 +222,9 @@ def write(pages: DataFrame, where: str, id_col: str = "page_id", url_col: str =
     return rows.mapInArrow(run, "path string, records long, bytes long")
 
 
-def read(spark, manifest: DataFrame, where: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of each record of the bundles."""
+def read(spark, manifest: DataFrame, where: str, ids: list[int] | None = None) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of each record of the bundles, or of those of some ids, found by the bundles' indexes."""
+    names_ = None if ids is None else {record_name(i) for i in ids}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(where)
@@ -224,7 +238,7 @@ def read(spark, manifest: DataFrame, where: str) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 rows = []
                 with fs.open_input_file(path) as f:
-                    for head, block in BundleReader(f).records():
+                    for head, block in BundleReader(f).located(names_):
                         http, _, body = block.partition(b"\r\n\r\n")
                         stated = head["warc-payload-digest"].removeprefix("sha1:")
                         if head["warc-type"] == "response":

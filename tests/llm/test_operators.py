@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tessera.llm import components, decontaminate, language_id, quality, queries, sentencepiece_codec, sharding, simhash, sketch, textbytes, token_files, toxicity, warc, wordmemory
+from tessera.llm import components, decontaminate, labelled, language_id, near, quality, queries, sentencepiece_codec, sharding, simhash, sketch, textbytes, token_files, toxicity, warc, wordmemory
 
 
 def lower(t):
@@ -464,7 +464,7 @@ def test_op8_files(spark, sf, docs):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(token_files.tokenizer_path())
-    order = sorted(docs, key=lambda d: (d.doc_id is not None, d.doc_id or 0, d.text is not None, d.text or ""))
+    order = sorted(docs, key=lambda d: (d.doc_id is not None, d.doc_id or 0, int(np.uint64(xxhash.xxh64_intdigest((d.text or "").encode(), 42)).view(np.int64))))
     want, at = [], 0
     for d in order:
         ids = np.array([*tk.encode(d.text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -644,3 +644,104 @@ def test_op10_estimates(spark):
     assert got[3, 4].like == 1 and got[3, 5].like == 0 and got[5, 6].like == 1 and got[0, 0].like == 1
     merged = rows.where("i in (1, 2)").agg(F.collect_list("s").alias("s")).select(sketch.merge(F.col("s")).alias("m")).first().m
     assert set(merged.kept) <= set(rows.where("i = 1").first().s.kept) | set(rows.where("i = 2").first().s.kept)
+
+
+def test_op2_some_ids_by_the_index(spark, sf):
+    where = f"{sf}-warc"
+    manifest = spark.createDataFrame(warc.write(spark.read.parquet(f"{sf}/pages.parquet"), f"file://{where}").collect())
+    every = Counter(tuple(r) for r in warc.read(spark, manifest, f"file://{where}").collect())
+    some = Counter(tuple(r) for r in warc.read(spark, manifest, f"file://{where}", [0, 7, 999]).collect())
+    assert some == Counter({k: n for k, n in every.items() if k[0] in (0, 7)}) and sum(some.values()) == 3
+
+
+def test_ways_beyond_the_broadcast_bounds(spark, sf, monkeypatch):
+    """What is joined by a shuffle beyond a bound gives what a broadcast gives."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+
+    def rows():
+        return [
+            sorted(map(tuple, warc.op2(spark, sf).collect()), key=repr), sorted(map(tuple, labelled.with_label(docs, labels, "toxic").collect()), key=repr),
+            sorted(map(tuple, near.keep_one(spark, docs, sf, 0 if warc.BROADCAST_ROWS == 0 else 10**6).collect()), key=repr),
+        ]
+
+    want = rows()
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(labelled, "BROADCAST_ROWS", 0)
+    assert rows() == want
+
+
+def test_op1_features_and_votes_by_plain_loops(spark, sf):
+    texts = ["", "a", "The cat, thé CAT", "12 34", "über   straße", "x" * 300]
+    got = language_id.features(*textbytes.column_bytes(pa.array(texts)))
+    for row, t in zip(got, texts):
+        b = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in lower(t).encode())
+        if sum(map(len, (x.encode() for x in texts))) < 3:
+            continue
+        n = Counter()
+        slot = lambda x: (x * 2654435761 & 0xFFFFFFFF) >> 19
+        for i in range(len(b) - 1):
+            if b[i : i + 2] != b"  ":
+                n[slot(b[i] << 8 | b[i + 1])] += 1
+            if i + 2 < len(b) and b[i : i + 2] != b"  " and b[i + 1 : i + 3] != b"  ":
+                n[slot((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) + 0x5BD1E995 & 0xFFFFFFFF)] += 1
+        want = np.zeros(language_id.DIM)
+        for k, v in n.items():
+            want[k] = (v / sum(n.values())) ** 0.5
+        assert np.allclose(row, want, atol=1e-6)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    m = language_id.train(docs)
+    assert m.families == ["germanic", "romance"] and m.langs == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+    sample = [r.text for r in docs.where("doc_id < 40").collect()]
+    x = language_id.features(*textbytes.column_bytes(pa.array(sample)))
+    lang, score = m.predict(x)
+    for row, own, p in zip(x, lang, score):
+        margin = [float(row @ m.weights[:, k] + m.biases[k]) for k in range(m.weights.shape[1])]
+        family = m.families[int(np.argmax(margin[:2]))]
+        pair = next(margin[2 + k] for k, (f, _, _) in enumerate(m.pairs) if f == family)
+        assert own == m.langs[family][0 if pair > 0 else 1]
+        assert p == pytest.approx(1 / (1 + np.exp(-4 * abs(margin[0] - margin[1]))) / (1 + np.exp(-4 * abs(pair))), rel=1e-3)
+
+
+def test_op1_bounds_of_the_sample(spark):
+    """Neither many labels nor frequent ones make the sample grow; a rare label is learned whole."""
+    rows = [(i, f"text {i}", f"x{i % 50}" if i % 2 else "big") for i in range(4000)] + [(9000 + i, "rare words", "rare") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r.lang for r in textbytes.bounded_sample(df, "doc_id", "lang", 30, 1, most_labels=60, most_rows=10**6).collect())
+    assert got["rare"] == 3 and 10 <= got["big"] <= 60 and all(n <= 60 for n in got.values()) and len(got) == 27
+    assert set(r.lang for r in textbytes.bounded_sample(df, "doc_id", "lang", 30, 1, most_labels=1).collect()) == {"big"}
+    assert textbytes.bounded_sample(df, "doc_id", "lang", 1000, 1, most_labels=60, most_rows=270).count() < 500
+
+
+def test_op5_neighbours_and_chain_change_a_score(spark, sf):
+    """The same line between good lines and between bad ones is judged differently, by the transitions too."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality.train(docs, labels)
+    good = "The andre of erisor tion and endesal."
+    bad = "THE $$$ ### AND!! OF!! ### $$$"
+    line = "Some er and in"
+    def judged(model, around):
+        data, offsets = textbytes.column_bytes(pa.array(["\n".join([around, around, line, around, around])]))
+        x, _, first = quality.features(data, offsets)
+        p = model.marginals(x, first)[2]
+        return np.log(p / (1 - p))
+
+    assert judged(m, good) > judged(m, bad) + 0.5
+    without = quality.Model(m.weights, np.zeros_like(m.trans))
+    assert abs(judged(m, bad) - judged(without, bad)) > 0.01 and np.abs(m.trans).max() > 1e-3
+
+
+def test_texts_beyond_a_slice(spark, sf, tmp_path):
+    """One text of some megabytes among short ones: languages, passages and near copies are told in it as in short texts."""
+    every = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 240 and doc_id % 20 <> 3").orderBy("doc_id").collect()
+    own = "\n".join(r.text for r in every if r.lang == "de")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id = 2").first().text
+    long = (own + "\n") * (1 + 3 * textbytes.SLICE_BYTES // len(own)) + item
+    french = next(r.text for r in every if r.lang == "fr")
+    assert len(long) > 2 * textbytes.SLICE_BYTES
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, long + " more words at its end"), (4, french)], "doc_id long, text string")
+    model = language_id.train(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, model, keep=["doc_id"]).collect() if r.doc_id != 2} == {1: "de", 3: "de", 4: "fr"}
+    found = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.scan(docs, decontaminate.index(spark, spark.read.parquet(f"{sf}/benchmark.parquet")), keep=["doc_id"]).collect()}
+    assert found[1][1] == ["2"] and found[1][0] >= 10 and found[2] == (0, []) and found[3][1] == ["2"]
+    assert {r.doc_id: r.component_id for r in near.group(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    assert [r.doc_id for r in near.keep_one(spark, docs, "").orderBy("doc_id").collect()] == [1, 2, 4]
