@@ -10,6 +10,12 @@ def component_key() -> Column:
     return F.coalesce(F.nullif(F.col("component_name"), F.lit("")), F.col("repo_name"))
 
 
+def of_component(chunks: DataFrame, repo: str, chunk_type: str | None = None) -> DataFrame:
+    """A repository's chunks, or those of one kind."""
+    rows = chunks.where(F.col("repo_name") == repo)
+    return rows if chunk_type is None else rows.where(F.col("chunk_type") == chunk_type)
+
+
 def component_stats(chunks: DataFrame) -> DataFrame:
     """Per component: distinct files, sorted languages, functions and classes among the symbols, chunks. Needs symbols."""
     kinds = lambda k: F.sum(F.size(F.filter("symbols", lambda s: s["kind"] == k)))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries of one block: about 64 MB of 1,024-dimensional vectors. More queries are searched block by block.
 BLOCK = 16_384
@@ -87,6 +88,37 @@ def _searcher(held, k: int, match: tuple[str, ...]):
     return run
 
 
+def embedded(df: DataFrame, text: Column, provider: Callable[[list[str]], list[list[float]]], dim: int, out: str = "embedding", batch: int = 10, most: int = 16_000) -> DataFrame:
+    """df with the vectors that a provider gives for batches of texts, each cut at `most` characters.
+
+    Where a batch fails its texts are asked for one by one; a text that fails, or gets a vector of another
+    length, gets the zero vector. A null text counts as empty.
+    """
+    schema = T.StructType([f for f in df.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    asked = "_asked"
+    while asked in df.columns:
+        asked += "_"
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        try:
+            got = [list(map(float, v)) for v in provider(texts)]
+            if len(got) == len(texts) and all(len(v) == dim for v in got):
+                return got
+        except Exception:  # whatever a provider raises
+            pass
+        return [[0.0] * dim] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(asked)).to_pylist()
+            got = [v for i in range(0, len(texts), batch) for v in vectors(texts[i : i + batch])]
+            kept = [b.column(b.schema.get_field_index(f.name)) for f in schema if f.name != out]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(got, pa.list_(pa.float64()))], names=schema.names)
+
+    cut = F.substring(F.coalesce(text, F.lit("")), 1, most)
+    return df.withColumn(asked, cut).mapInArrow(run, schema)
+
+
 def embed(df: DataFrame, text: Column, dim: int = 64, out: str = "embedding") -> DataFrame:
     """Offline vectors where no model is at hand: signed hashed bags of tokens, the same for the same text, zero for an empty one."""
     from tessera.functions.text import tokens

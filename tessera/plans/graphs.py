@@ -97,8 +97,7 @@ def graph_peers(spark, sf):
 
 def own_graph(spark):
     """The graph of the sample files' chunks."""
-    chunks = parsed(spark)
-    chunks = spark.createDataFrame(chunks.collect(), chunks.schema)  # a fixed handful of rows; walks read them many times
+    chunks = stored(parsed(spark), "sample-chunks")  # walks read them many times
     nodes = G.nodes(chunks)
     modules = chunks.select(F.col("file_path").alias("module"), F.col("repo_name").alias("component")).distinct()
     edges = G.structure(chunks).unionByName(G.imports(chunks, modules)).unionByName(G.calls(chunks))
@@ -158,6 +157,40 @@ def parse_code(spark, sf):
     return out.select("repo_name", "file_path", "chunk_type", "start_line", "end_line", F.transform("symbols", lambda s: s["name"]).alias("symbols"), "dependencies", "required_interfaces", F.md5("content").alias("digest"))
 
 
+def text_files(spark, sf):
+    """A file for each document: Markdown with front matter, models, commands, types, or broken JSON, by its id."""
+    docs = C.table(spark, sf, "documents").select("doc_id", F.col("source").alias("repo_name"))
+    id_, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    of = lambda *parts: F.concat(*(id_ if p is None else F.lit(p) for p in parts))
+    content = (
+        F.when(kind == 0, of('---\ntitle: "T', None, '"\ndate: 2024-01-02\n---\n# A', None, "\nSome words of the first section.\n\n## B", None, "\nMore words of the second one.\n"))
+        .when(kind == 1, of('{\n  "classes": {\n    "M', None, '": {\n      "properties": {"P": {}}\n    }\n  }\n}'))
+        .when(kind == 2, of('{"cmds": {"G', None, '": {"netfn": "0x30", "cmd": 17}}}'))
+        .when(kind == 3, of('{"defs": {"T', None, '": {"type": "enum"}, "U', None, '": {"low": 1}}}'))
+        .otherwise(of("not { json, but more than thirty characters ", None))
+    )
+    path = F.when(kind == 0, of("guide/", None, ".md")).when(kind == 1, of("m", None, "/model.json")).when(kind == 2, of("m", None, "/ipmi.json")).when(kind == 3, of("m", None, "/types.json")).otherwise(of("m/", None, ".json"))
+    return docs.select("repo_name", path.alias("file_path"), content.alias("content"))
+
+
+_TEXT_FILES = r"""d AS (SELECT doc_id, doc_id::VARCHAR AS i, source AS repo_name, doc_id % 5 AS kind FROM documents),
+t AS (SELECT repo_name, 'guide/' || i || '.md' AS file_path, 'doc_section' AS chunk_type, 5 AS start_line, 9 AS end_line, ['A' || i] AS symbols, '# A' || i || chr(10) || 'Some words of the first section.' || chr(10) || chr(10) || '## B' || i || chr(10) || 'More words of the second one.' AS content, 'doc_date' AS k, '2024-01-02' AS v FROM d WHERE kind = 0
+UNION ALL SELECT repo_name, 'guide/' || i || '.md', 'doc_section', 8, 9, ['B' || i], '## B' || i || chr(10) || 'More words of the second one.', 'doc_date', '2024-01-02' FROM d WHERE kind = 0
+UNION ALL SELECT repo_name, 'm' || i || '/model.json', 'mds_model', 3, 5, ['M' || i, 'P'], '{' || chr(10) || '  "M' || i || '": {' || chr(10) || '    "properties": {' || chr(10) || '      "P": {}' || chr(10) || '    }' || chr(10) || '  }' || chr(10) || '}', 'mds_class', 'M' || i FROM d WHERE kind = 1
+UNION ALL SELECT repo_name, 'm' || i || '/ipmi.json', 'mds_ipmi_cmd', 1, 1, ['G' || i], '{' || chr(10) || '  "G' || i || '": {' || chr(10) || '    "netfn": "0x30",' || chr(10) || '    "cmd": 17' || chr(10) || '  }' || chr(10) || '}', 'netfn', '0x30' FROM d WHERE kind = 2
+UNION ALL SELECT repo_name, 'm' || i || '/types.json', 'mds_type_def', 1, 1, ['T' || i], '{' || chr(10) || '  "T' || i || '": {' || chr(10) || '    "type": "enum"' || chr(10) || '  }' || chr(10) || '}', 'type_kind', 'enum' FROM d WHERE kind = 3
+UNION ALL SELECT repo_name, 'm' || i || '/types.json', 'mds_type_def', 1, 1, ['U' || i], '{' || chr(10) || '  "U' || i || '": {' || chr(10) || '    "low": 1' || chr(10) || '  }' || chr(10) || '}', 'type_kind', 'struct' FROM d WHERE kind = 3
+UNION ALL SELECT repo_name, 'm/' || i || '.json', 'config_block', 1, 1, []::VARCHAR[], 'not { json, but more than thirty characters ' || i, NULL, NULL FROM d WHERE kind = 4)"""
+
+
+@query("parse_texts", f"WITH {_TEXT_FILES} SELECT repo_name, file_path, chunk_type, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, symbols, md5(content) AS digest, v AS said FROM t WHERE length(trim(content)) >= 30")
+def parse_texts(spark, sf):
+    """Sections of Markdown, models, commands and types of JSON, and files that can't be parsed, one file for each document."""
+    out = files.long_enough(parsers.parse(files.wanted(text_files(spark, sf))))
+    said = F.coalesce(*(F.col("metadata")[k] for k in ("doc_date", "mds_class", "netfn", "type_kind")))
+    return out.select("repo_name", "file_path", "chunk_type", "start_line", "end_line", F.transform("symbols", lambda s: s["name"]).alias("symbols"), F.md5("content").alias("digest"), said.alias("said"))
+
+
 _CODE_EDGES = f"""{_CODE_FILES}, f AS (SELECT DISTINCT repo_name, file_path, kind, doc_id FROM d), e AS (SELECT *, repo_name || ':' || file_path || ':' AS pre FROM fn),
 ce AS (SELECT repo_name || ':' || file_path AS src, repo_name AS dst, 'BELONGS_TO' AS edge_type FROM f
 UNION SELECT repo_name || ':' || file_path, pre || name, 'CONTAINS' FROM e UNION SELECT repo_name, pre || name, 'DEFINES' FROM e UNION SELECT pre || name, pre || callee, 'CALLS' FROM e

@@ -31,6 +31,11 @@ def component_symbols(spark, sf):
     return components.component_symbols(with_symbols(spark, sf))
 
 
+@query("component_chunks", f"WITH {C.SQL_CHUNKS} SELECT chunk_id, file_path FROM chunks WHERE repo_name = 'src3' AND chunk_type = 'mds_service'")
+def component_chunks(spark, sf):
+    return components.of_component(C.chunks(spark, sf), "src3", "mds_service").select("chunk_id", "file_path")
+
+
 @query("component_deps", """WITH c AS (SELECT doc_id, source, CASE WHEN n_chars < 1000 THEN 'mds_model' WHEN n_chars < 2000 THEN 'mds_ipmi_cmd' WHEN n_chars < 4000 THEN 'file' ELSE 'mds_service' END AS chunk_type, lang, 'n' || doc_id AS name FROM documents)
 SELECT source AS component, max_by([lang || '-lib', source || '-core'], doc_id) FILTER (chunk_type = 'mds_service') AS dependencies, max_by(['if.' || lang], doc_id) FILTER (chunk_type = 'mds_service') AS required_interfaces,
 coalesce(list_sort(list(name) FILTER (chunk_type = 'mds_model')), []) AS models, coalesce(list_sort(list(name) FILTER (chunk_type = 'mds_ipmi_cmd')), []) AS commands FROM c GROUP BY source""")

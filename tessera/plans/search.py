@@ -57,8 +57,11 @@ class Engine:
         """The queries with all that is known of them, worked out once, and which of the optional steps any of them needs.
 
         Columns language, repo_name and chunk_type of the queries filter the results and override what their
-        words say; a column is_code overrides what they look like.
+        words say; a column is_code, or what a column intent classifies as code or not, overrides what they look like.
         """
+        if "intent" in queries.columns:
+            hint = query.intent_hint(F.col("intent"))
+            queries = queries.withColumn("is_code", F.coalesce(F.col("is_code"), hint) if "is_code" in queries.columns else hint)
         own = {c: c in queries.columns for c in (*FILTERS, "is_code")}
         given = queries.select(*[c for c in queries.columns if not own.get(c)], *(F.col(c).alias(f"_{c}") for c, x in own.items() if x))
         asked = query.process(given, spelling=self.spelling, known=None if self.known_terms is None else list(self.known_terms))

@@ -211,12 +211,27 @@ def test_lookup_prefers_the_first_collection(spark):
 
 
 def test_stream(spark, tmp_path):
+    """Batches rewrite the buckets they touch, a batch that is tried again changes nothing, and old versions go."""
     schema, src, out = "chunk_id int, content string", f"{tmp_path}/in", f"{tmp_path}/out"
-    spark.createDataFrame([(1, "a"), (2, "b")], schema).coalesce(1).write.parquet(src)
-    upsert.upsert_stream(spark, src, schema, out, f"{tmp_path}/ck")
-    spark.createDataFrame([(2, "B"), (3, "c")], schema).coalesce(1).write.mode("append").parquet(src)
-    upsert.upsert_stream(spark, src, schema, out, f"{tmp_path}/ck")
-    assert sorted(map(tuple, upsert.latest(spark, out).select("chunk_id", "content").collect())) == [(1, "a"), (2, "B"), (3, "c")]
+    run = lambda ck="ck": upsert.upsert_stream(spark, src, schema, out, f"{tmp_path}/{ck}", buckets=4)
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    now = lambda: sorted(map(tuple, upsert.latest(spark, out).select("chunk_id", "content").collect()))
+    assert upsert.latest(spark, out) is None
+    add([(1, "a"), (2, "b")])
+    run()
+    add([(2, "B"), (3, "c")])
+    run()
+    assert now() == [(1, "a"), (2, "B"), (3, "c")]
+    assert sorted(map(tuple, upsert.latest(spark, out, before=1).collect())) == [(1, "a"), (2, "b")]
+    for i in range(4):
+        add([(i, f"{i}")])
+        run()
+    want = [(0, "0"), (1, "1"), (2, "2"), (3, "3")]
+    assert now() == want
+    versions = {*upsert.commit(spark, out).values(), *upsert.commit(spark, out, before=5).values()}
+    assert set(upsert._listed(spark, f"{out}/data")) == versions
+    run()
+    assert now() == want
 
 
 def test_stored_index(spark, tmp_path):

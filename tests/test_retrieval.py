@@ -327,3 +327,22 @@ def test_holders_by_plain_search(spark):
     i = spark.createDataFrame(list(enumerate(items)), "query_id int, item string")
     want = {(b, a) for a, x in enumerate(texts) for b, y in enumerate(items) if x is not None and y is not None and y in x}
     assert {tuple(r) for r in retrieval.holders(t, i).collect()} == want
+
+
+def test_provider_of_vectors(spark):
+    """Batches, the cut, a batch that fails, a text that fails, and vectors of another length."""
+    def provider(texts):
+        if len(texts) > 3 or any("bad" in t for t in texts):
+            raise RuntimeError("no")
+        return [[float(len(t)), 1.0] if t != "odd" else [1.0] for t in texts]
+
+    rows = [(i, t) for i, t in enumerate(["a", "bb", "bad", "x" * 50, None, "odd", "ccc"])]
+    df = spark.createDataFrame(rows, "i int, t string").withColumn("embedding", F.lit("clash"))
+    got = {r.i: r.embedding for r in dense.embedded(df, F.col("t"), provider, 2, batch=3, most=20).collect()}
+    assert got == {0: [1.0, 1.0], 1: [2.0, 1.0], 2: [0.0, 0.0], 3: [20.0, 1.0], 4: [0.0, 1.0], 5: [0.0, 0.0], 6: [3.0, 1.0]}
+
+
+def test_intent_says_what_is_code(spark):
+    e = small_engine(spark)
+    asked = spark.createDataFrame([(0, "x = {}", [1.0, 0.0], "semantic"), (1, "words", [1.0, 0.0], "code"), (2, "x = {}", [1.0, 0.0], "none")], "query_id long, text string, embedding array<double>, intent string")
+    assert {r.query_id: r.is_code for r in e.processed(asked)[0].collect()} == {0: False, 1: True, 2: True}
