@@ -166,10 +166,18 @@ def judge_summary(spark, sf):
     return agent.judge_summary(agent.judged(rows), ["lang"])
 
 
-@query("judge_parse")
+#: Replies of a judge, and the four marks that are to be read from each.
+REPLIES = [
+    ('```json\n{"accuracy": 8, "completeness": 7, "evidence": 9, "clarity": 6}\n```', (8, 7, 9, 6)), ('I think {"accuracy": 3, "clarity": 10} is fair', (3, 0, 0, 10)), ("no json here", (0, 0, 0, 0)), ("", (0, 0, 0, 0)),
+    ('{"accuracy": 10, "completeness": 10, "evidence": 10, "clarity": 10}', (10, 10, 10, 10)),
+]
+_REPLIES = ", ".join(f"({i}, replace('{t.replace(chr(10), '#LF#')}', '#LF#', chr(10)), {', '.join(map(str, m))})" for i, (t, m) in enumerate(REPLIES))
+
+
+@query("judge_parse", f"""SELECT CAST(i AS INT) AS case_id, raw, CAST(a AS INT) AS accuracy, CAST(c AS INT) AS completeness, CAST(e AS INT) AS evidence, CAST(k AS INT) AS clarity, round(0.3 * a + 0.25 * c + 0.25 * e + 0.2 * k, 6)::DOUBLE AS weighted,
+0.3 * a + 0.25 * c + 0.25 * e + 0.2 * k >= 6 AS passed FROM (VALUES {_REPLIES}) v(i, raw, a, c, e, k)""")
 def judge_parse(spark, sf):
-    raw = ['```json\n{"accuracy": 8, "completeness": 7, "evidence": 9, "clarity": 6}\n```', 'I think {"accuracy": 3, "clarity": 10} is fair', "no json here", "", '{"accuracy": 10, "completeness": 10, "evidence": 10, "clarity": 10}']
-    return agent.judged(spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "case_id int, raw string"))
+    return agent.judged(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REPLIES)], "case_id int, raw string"))
 
 
 @query("tool_context", "WITH t AS (SELECT conv_id, turn, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS t FROM conversations WHERE role = 'user') SELECT conv_id, CAST(count(*) AS INT) AS tool_calls, string_agg(t, chr(10) || '---' || chr(10) ORDER BY turn, t) AS context FROM t GROUP BY conv_id")

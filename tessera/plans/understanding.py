@@ -74,6 +74,16 @@ def spell_correct(spark, sf):
     return Q.corrections(asked(spark, sf))
 
 
-@query("query_process")
+def _body(name: str) -> str:
+    """The SQL of a query of this module after its queries, as a table."""
+    from tessera.plans.registry import ORACLES
+
+    return ORACLES[name].removeprefix(f"WITH {SQL_Q}").strip()
+
+
+@query("query_process", f"""WITH {SQL_Q}, flags AS ({_body('query_flags')}), filters AS ({_body('query_filters')}), words AS ({_body('query_keywords')}), clean AS ({_body('query_clean')}),
+wider AS (WITH {_body('query_expand').removeprefix(',')})
+SELECT * FROM q JOIN flags USING (query_id) JOIN filters USING (query_id) JOIN words USING (query_id) JOIN clean USING (query_id) JOIN wider USING (query_id)""")
 def query_process(spark, sf):
-    return Q.process(asked(spark, sf))
+    """All that is known of a query, but for the spelling check."""
+    return Q.process(asked(spark, sf), spelling=False)
