@@ -145,11 +145,13 @@ def forest(own: list[np.ndarray]) -> list[tuple[int, int]]:
     fps, of = np.unique(prints(own), return_inverse=True)
     order = np.argsort(of, kind="stable")
     members = np.split(order, np.cumsum(np.bincount(of))[:-1])
-    label = np.arange(len(own))
+    label, (up, down) = np.arange(len(own)), LEAST
+    size = np.array([len(x) for x in own], np.int64)
     for at, near in BKTree(fps.tolist()).batch(fps, RADIUS):
         met = np.concatenate([members[j] for j in near[near >= at].tolist()])
         for i in members[at].tolist():
-            to = met[label[met] != label[i]]
+            # sets of very unlike sizes can't be similar
+            to = met[(label[met] != label[i]) & (down * np.minimum(size[met], size[i]) >= up * np.maximum(size[met], size[i]))]
             if len(to) and len(to := to[alike(own[i], [own[j] for j in to.tolist()])]):
                 joined = np.unique(np.append(label[to], label[i]))
                 label[np.isin(label, joined)] = joined[0]
