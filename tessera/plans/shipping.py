@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -25,5 +26,7 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(ROOT))
         kept = Path(tempfile.gettempdir(), f"tessera-{app}.zip")
         path.replace(kept)
+    # Spark serves it from there as long as the application lives
+    atexit.register(kept.unlink, missing_ok=True)
     spark.sparkContext.addPyFile(str(kept))
     _sent.add(app)

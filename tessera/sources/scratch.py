@@ -15,9 +15,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where or "file:///tmp/checkpoints"
 
 
+#: Paths that this process has given out.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this process has written to scratch paths, once no result that reads it is needed any more."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -132,6 +132,17 @@ def test_ingest_with_each_repository_s_own_rules(spark, tmp_path):
     assert files.repositories(spark, f"{tmp_path}/tree") == ["two"] and files.repositories(spark, f"{tmp_path}/none") == []
 
 
+def test_scratch_tables(spark):
+    from pathlib import Path
+
+    from tessera.sources import scratch
+
+    df = scratch.stored(spark.range(3), "three")
+    where = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 3 and where.exists()
+    assert scratch.clear(spark) >= 1 and not where.exists() and scratch.clear(spark) == 0
+
+
 def test_settings_of_a_file(tmp_path):
     from tessera.config import EngineConfig
 
