@@ -1,27 +1,7 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, as the library has it."""
 
 from __future__ import annotations
 
-import uuid
+from tessera.sources.scratch import scratch, shared_dir, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset, a folder of this machine, but only if all executors are on it, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return where or "file:///tmp/checkpoints"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for this run's files in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+__all__ = ["scratch", "shared_dir", "stored"]
