@@ -29,9 +29,14 @@ def tokenized(chunks: DataFrame, text: Column, id_col: str = "chunk_id") -> Data
     return chunks.select(F.col(id_col).alias("chunk_id"), tokens(text).alias("tokens"))
 
 
+def each(tokens: Column) -> Column:
+    """A row for each token, and one without for an empty list. A plain explode would filter by the list's size first, and so tokenize twice."""
+    return F.explode_outer(tokens)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(chunk_id, token, tf) of tokenized chunks."""
-    return docs.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select("chunk_id", each(F.col("tokens")).alias("token")).where("token is not null").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_rows(docs: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def term_rows(docs: DataFrame) -> DataFrame:
 
     One pass and one shuffle of partial sums give both.
     """
-    rows = docs.select(F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("token"), F.size("tokens").alias("n"))
+    rows = docs.select(each(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("token"), F.size("tokens").alias("n"))
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("n"))).alias("dl"))
 
 
@@ -85,7 +90,7 @@ def scores(docs: DataFrame, queries: DataFrame, config: Bm25Config = Bm25Config(
     # tokens of the queries get numbers, so that matches are three numbers each
     vocabulary = stored(term_stats(terms.join(hint(asked.select("token").distinct()), "token", "left_semi"), stats).withColumn("term", F.xxhash64("token")), "bm25-vocabulary")
     weighted = asked.join(vocabulary, "token").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    found = docs.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(hint(vocabulary.select("token", "term")), "token").select("chunk_id", "dl", "term")
+    found = docs.select("chunk_id", F.size("tokens").alias("dl"), each(F.col("tokens")).alias("token")).join(hint(vocabulary.select("token", "term")), "token").select("chunk_id", "dl", "term")
     tf = found.repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     hits = tf.join(hint(weighted), "term").join(F.broadcast(stats.select("avgdl")))
     keys = ["chunk_id", "query_id"]
