@@ -109,12 +109,40 @@ def graph_from_files(spark, sf):
     return own_graph(spark)[2]
 
 
-@query("graph_cross_calls")
+#: A nation is a component, a supplier one of its files (every fifth the main one), a part that it sells an entity, which calls the same part of the next supplier.
+_SOLD = """ent AS (SELECT DISTINCT 'n' || s_nationkey AS comp, 'n' || s_nationkey || ':s' || s_suppkey || CASE WHEN s_suppkey % 5 = 0 THEN '_app.lua' ELSE '.lua' END AS file, s_suppkey AS s, l_partkey AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+e AS (SELECT *, file || ':p' || p AS node_id, lead(file || ':p' || p) OVER (PARTITION BY p ORDER BY s) AS callee FROM ent),
+seen AS (SELECT substr(comp, 2)::BIGINT AS query_id, node_id, 1.0::DOUBLE / n AS score FROM (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY s, p) AS n FROM e) WHERE n <= 2)"""
+
+
+def sold(spark, sf):
+    """(comp, file, s, p, node_id, callee) of what suppliers sell."""
+    t = C.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    named = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+    file = F.concat(named, F.lit(":s"), F.col("s").cast("string"), F.when(F.col("s") % 5 == 0, "_app.lua").otherwise(".lua"))
+    rows = t.join(C.table(spark, sf, "supplier"), F.col("s") == F.col("s_suppkey")).select(named.alias("comp"), file.alias("file"), "s", "p", F.concat(file, F.lit(":p"), F.col("p").cast("string")).alias("node_id"))
+    return stored(rows.withColumn("callee", F.lead("node_id").over(Window.partitionBy("p").orderBy("s"))), "sold")
+
+
+@query("graph_cross_calls", f"""WITH {_SOLD}, own AS (SELECT seen.*, file FROM seen JOIN e USING (node_id)),
+sib AS (SELECT query_id, e.node_id, own.score * 0.3::DOUBLE AS score FROM own JOIN e USING (file)),
+src AS (SELECT query_id, node_id, max(score) AS score FROM (SELECT query_id, node_id, score FROM own UNION ALL (SELECT * FROM sib ANTI JOIN seen USING (query_id, node_id))) GROUP BY ALL),
+hit AS (SELECT query_id, t.node_id, t.comp, t.file, max(src.score) * 0.6::DOUBLE AS score FROM src JOIN e f ON f.node_id = src.node_id JOIN e t ON t.node_id = f.callee WHERE t.comp <> f.comp GROUP BY ALL),
+fresh AS (SELECT * FROM hit ANTI JOIN seen USING (query_id, node_id)),
+near AS (SELECT query_id, e.node_id, fresh.score * 0.4::DOUBLE AS score FROM fresh JOIN e USING (file)),
+main AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY node_id) AS n FROM e WHERE file LIKE '%\\_app.lua' ESCAPE '\\') WHERE n <= 5),
+app AS (SELECT query_id, main.node_id, best.score * 0.3::DOUBLE AS score FROM (SELECT query_id, comp, max(score) AS score FROM fresh GROUP BY ALL) best JOIN main USING (comp)),
+known AS (SELECT query_id, node_id FROM seen UNION SELECT query_id, node_id FROM fresh),
+more AS (SELECT query_id, node_id, max(score) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM app) ANTI JOIN known USING (query_id, node_id) GROUP BY ALL)
+SELECT query_id, node_id, round(score, 6) AS score FROM (SELECT query_id, node_id, score FROM fresh UNION ALL SELECT * FROM more)""")
 def graph_cross_calls(spark, sf):
-    """From every entity of `fan` to what it calls elsewhere."""
-    _, nodes, edges = own_graph(spark)
-    seen = nodes.where("node_type = 'entity' and startswith(node_id, 'fan:')").select(F.lit(1).alias("query_id"), "node_id", F.lit(1.0).alias("score"))
-    return G.cross_calls(edges, nodes, seen)
+    """What a nation's first two entities, and the others of their file, lead to in other nations."""
+    e = sold(spark, sf)
+    nodes = e.select("node_id", F.lit("entity").alias("node_type"), F.col("node_id").alias("name"), F.col("node_id").alias("chunk_id"))
+    edge = lambda a, b, t: e.where(F.col(b).isNotNull()).select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(t).alias("edge_type"))
+    n = F.row_number().over(Window.partitionBy("comp").orderBy("s", "p"))
+    seen = e.withColumn("n", n).where("n <= 2").select(F.expr("cast(substring(comp, 2) as bigint)").alias("query_id"), "node_id", (F.lit(1.0) / F.col("n")).alias("score"))
+    return G.cross_calls(edge("file", "node_id", "CONTAINS").unionByName(edge("node_id", "callee", "CALLS")), nodes, seen)
 
 
 # ---------------------------------------------------------------- code made from the documents' ids
