@@ -55,8 +55,8 @@ SELECT k1, b, CAST(count(query_id) AS BIGINT) AS hits, round(count(query_id) / (
 def bm25_grid(spark, sf):
     """Hits at 5 for every pair of parameters, from one pass over the postings."""
     docs, asked = C.tokenized(spark, sf)
-    params = spark.createDataFrame([(k, b) for k in GRID_K1 for b in GRID_B], "k1 double, b double")
-    top = sparse.ranked(sparse.scores(docs, asked, params=params), 5, by=("k1", "b", "query_id"))
+    pairs = [(k, b) for k in GRID_K1 for b in GRID_B]
+    params, top = spark.createDataFrame(pairs, "k1 double, b double"), sparse.grid(docs, asked, pairs, 5)
     gold = planted(spark, sf).select("query_id", "chunk_id")
     hit = top.join(gold, ["query_id", "chunk_id"]).select("k1", "b", "query_id").distinct()
     n = gold.agg(F.countDistinct("query_id").alias("n"))

@@ -346,3 +346,19 @@ def test_intent_says_what_is_code(spark):
     e = small_engine(spark)
     asked = spark.createDataFrame([(0, "x = {}", [1.0, 0.0], "semantic"), (1, "words", [1.0, 0.0], "code"), (2, "x = {}", [1.0, 0.0], "none")], "query_id long, text string, embedding array<double>, intent string")
     assert {r.query_id: r.is_code for r in e.processed(asked)[0].collect()} == {0: False, 1: True, 2: True}
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 3])
+def test_grid_is_the_best_of_all_scores(spark, monkeypatch, cells):
+    """The k best for every pair by matrix products, in one block of queries and in several, against all scores; ties go to the smaller chunk."""
+    import random
+
+    rng = random.Random(9)
+    docs = {i: [rng.choice("abcdefgh") * 2 for _ in range(rng.randint(0, 9))] for i in range(60)} | {100 + i: ["aa", "bb"] for i in range(5)}
+    d, q = frames(spark, docs, {1: ["aa"], 2: ["bb", "bb", "hh"], 3: ["none"], 4: [], 5: ["cc", "dd", "ee"]})
+    pairs = [(0.5, 0.0), (1.5, 0.75), (3.0, 1.0)]
+    monkeypatch.setattr(sparse, "CELLS", cells)
+    got = sorted((r.k1, r.b, r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in sparse.grid(d, q, pairs, 4).collect())
+    all_ = sparse.scores(d, q, params=spark.createDataFrame(pairs, "k1 double, b double"))
+    want = sorted((r.k1, r.b, r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in sparse.ranked(all_, 4, by=("k1", "b", "query_id")).collect())
+    assert got == want and len(want) == 36
