@@ -43,7 +43,7 @@ def bm25_topk(spark, sf):
     return sparse.ranked(sparse.scores(docs, asked), 10, source="bm25")
 
 
-#: The reference's grid (scripts/scan_bm25_params.py).
+# The grid of parameters.
 GRID_K1, GRID_B = (0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.5, 3.0), (0.0, 0.15, 0.3, 0.5, 0.6, 0.75, 0.9, 1.0)
 _GRID = f"params AS (SELECT * FROM (VALUES {', '.join(f'({x}::DOUBLE)' for x in GRID_K1)}) a(k1), (VALUES {', '.join(f'({x}::DOUBLE)' for x in GRID_B)}) c(b))"
 
