@@ -11,6 +11,7 @@ language; with none, everything is `und`. Repeated rows are predicted alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,9 @@ from . import textbytes as B
 
 DIM = 1 << 13
 
+#: Texts whose dense feature rows (DIM numbers each) are held at a time.
+DENSE_ROWS = 128
+
 # Families of languages by ISO 639-1 code.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "fy", "is", "lb", "nl", "no", "sv", "yi"],
@@ -64,6 +68,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sqrt(out / np.maximum(total, 1))
 
 
+def blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows and their features, DENSE_ROWS at a time, so that the working set doesn't follow DIM times the slice's rows."""
+    for a, b in B.slices(offsets, rows=DENSE_ROWS):
+        yield slice(a, b), features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
 def lettered(data: np.ndarray, offsets: np.ndarray, col: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
     if len(data) == 0:
@@ -162,9 +172,11 @@ def sample_features(df: DataFrame, text_col: str, label_col: str) -> tuple[Rows,
 
     def scorer():
         def f(data, offsets, col):
-            x = features(data, offsets)
-            ok = lettered(data, offsets, col)
-            return [[np.flatnonzero(r).astype(np.int16).tobytes() if k else None for r, k in zip(x, ok)], [r[r > 0].tobytes() for r in x]]
+            ok, at, values = lettered(data, offsets, col), [], []
+            for rows, x in blocks(data, offsets):
+                at += [np.flatnonzero(r).astype(np.int16).tobytes() if k else None for r, k in zip(x, ok[rows])]
+                values += [r[r > 0].tobytes() for r in x]
+            return [at, values]
 
         return f
 
@@ -199,8 +211,10 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
             ok = lettered(data, offsets, col)
             lang, score = np.full(len(ok), "und", dtype=object), np.zeros(len(ok))
             if model.families and ok.any():
-                got, p = model.predict(features(data, offsets))
-                lang[ok], score[ok] = got[ok], p[ok]
+                for rows, x in blocks(data, offsets):
+                    own = ok[rows]
+                    got, p = model.predict(x[own])
+                    lang[rows][own], score[rows][own] = got, p
             return [pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())]
 
         return f

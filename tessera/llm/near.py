@@ -172,6 +172,7 @@ def to_pivot(hot: DataFrame, own: DataFrame) -> DataFrame:
     rows = hot.join(own.dropDuplicates(["set_id"]), "set_id").join(pivots, "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.take_over()
         for batch in batches:
             linked = [bool(alike(np.frombuffer(p.as_py(), np.uint64), [np.frombuffer(g.as_py(), np.uint64)])[0]) for g, p in zip(batch.column(4), batch.column(5))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_())], names=["shard", "set_id", "n", "pivot", "linked"])
@@ -201,6 +202,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> D
     own = held(docs, distinct, dealt.select("set_id").distinct(), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.take_over()
         key, ids, its = None, [], []
         out: list[tuple[int, int]] = []
 

@@ -39,6 +39,8 @@ from . import textbytes as B
 from .wordmemory import WordMemory, ragged
 
 MARK = "▁"
+#: The name by which a worker keeps its codec between tasks.
+OWN = "pieces"
 #: Pairs of pieces that a worker remembers; beyond that it starts afresh. Results don't depend on it.
 REMEMBERED = 200_000
 #: States of prefixes that a worker remembers at the start of a batch of words.
@@ -288,7 +290,8 @@ class Codec:
 
 @cache
 def codec(path: str) -> Codec:
-    """One codec a worker and model."""
+    """One codec a worker and model, until the worker is given another operator's task."""
+    B.keeping(OWN, codec.cache_clear)
     return Codec(path)
 
 
@@ -302,7 +305,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | N
 
         return f
 
-    return B.annotate(df, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType()))], scorer, keep)
+    return B.annotate(df, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType()))], scorer, keep, OWN)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -311,6 +314,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     names = [f.name for f in schema]
 
     def run(batches):
+        B.take_over(OWN)
         c = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, B.SLICE_ROWS):
@@ -348,7 +352,7 @@ def coded(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | No
         return f
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
-    return B.annotate(df, text_col, fields, scorer, keep)
+    return B.annotate(df, text_col, fields, scorer, keep, OWN)
 
 
 def op7(spark, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ working set follows `SLICE_BYTES` or the longest single text, whichever is large
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,9 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1024
 
+#: Bytes of an Arrow batch that a task of `annotate` is sent, where the session sets no other size.
+BATCH_BYTES = 4 << 20
+
 #: Bytes that are hashed at a time.
 HASH_BYTES = 1 << 18
 
@@ -173,18 +177,20 @@ def annotate(
     fields: list[T.StructField],
     scorer: Callable[[], Callable[[np.ndarray, np.ndarray, pa.Array], list]],
     keep: list[str] | None = None,
+    own: str = "",
 ) -> DataFrame:
     """df's columns (or those of `keep`) and the new `fields`, one output row for each input row.
 
     scorer() is called once a task and gives f(bytes, offsets, column), which returns one array for
-    each field. A new field replaces an input column of the same name.
+    each field. A new field replaces an input column of the same name. `own` names what the scorer keeps between
+    tasks (see `keeping`), if anything.
     """
 
     def grouped():
         f = scorer()
         return lambda parts: [f(*p) for p in parts]
 
-    return annotate_groups(df, text_col, fields, grouped, keep)
+    return annotate_groups(df, text_col, fields, grouped, keep, own=own)
 
 
 def annotate_groups(
@@ -194,13 +200,16 @@ def annotate_groups(
     scorer: Callable[[], Callable[[list[tuple[np.ndarray, np.ndarray, pa.Array]]], list[list]]],
     keep: list[str] | None = None,
     group_bytes: int = 0,
+    own: str = "",
 ) -> DataFrame:
     """The same for slices together: scorer() gives f(list of slices), called when they have `group_bytes` or more, with a result for each."""
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(own)
         f = scorer()
         parts, rows, size = [], [], 0
 
@@ -220,6 +229,7 @@ def annotate_groups(
                 if size >= group_bytes:
                     yield from close()
                     size = 0
+            del batch, col, data, offsets  # else they stay until the next batch has come
         if parts:
             yield from close()
         give_back()
@@ -227,6 +237,32 @@ def annotate_groups(
     return df.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
 
 
+def small_batches(spark) -> None:
+    """Has Arrow batches end at BATCH_BYTES instead of Spark's 64 MB, which JVM and worker both hold; a session's own choice stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+#: What drops the memory that operators keep in this worker between their tasks, by name.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeping(own: str, drop: Callable[[], None]) -> None:
+    """Says that this worker keeps something between tasks, and what drops it."""
+    _kept[own] = drop
+
+
+def take_over(own: str = "") -> None:
+    """A task begins: what other operators than its own keep in this worker goes, as Spark hands workers from stage to stage."""
+    others = [name for name in _kept if name != own]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        gc.collect()
+        give_back()
+
+
 def give_back() -> None:
     """Returns what this worker's allocators hold unused, as it stays for other tasks while others need the memory."""
     pa.default_memory_pool().release_unused()
